@@ -1,0 +1,42 @@
+"""Intermediate tables in the folder that the cluster shares.
+
+Lineage is cut by writing a table below ``spark.checkpoint.dir`` and reading
+it again: the files outlive any executor, unlike a local checkpoint.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+SETTING = "spark.checkpoint.dir"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder of the session; one of our own only where none is set."""
+    known = spark.conf.get(SETTING, None)
+    if not known:
+        known = tempfile.mkdtemp(prefix="tessella-")
+        spark.conf.set(SETTING, known)
+    return known.rstrip("/")
+
+
+def cut(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and return the table read back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tessella/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._tessella_path = path
+    return table
+
+
+def drop(table: DataFrame) -> None:
+    """Delete a table made by :func:`cut` that nothing reads any more."""
+    path = getattr(table, "_tessella_path", None)
+    if path:
+        jvm = table.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
