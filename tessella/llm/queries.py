@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pack, token_count
+from . import decontaminate, pack, simhash, substring_dedup, token_count
 
 QUERIES = {
     "op2_pack": pack.op2,
     "op3_token_counts": token_count.op3,
     "op4_decontaminate": decontaminate.op4,
+    "op5_simhash": simhash.op5,
+    "op8_substring_dedup": substring_dedup.op8,
 }
 
-SQL = {"op4_decontaminate": decontaminate.OP4_SQL}
+SQL = {
+    "op4_decontaminate": decontaminate.OP4_SQL,
+    "op8_substring_dedup": substring_dedup.OP8_SQL,
+}
