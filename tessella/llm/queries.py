@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pack, simhash, substring_dedup, token_count
+from . import decontaminate, minhash_dedup, pack, simhash, substring_dedup, token_count
 
 QUERIES = {
+    "op1_minhash_dedup": minhash_dedup.op1,
     "op2_pack": pack.op2,
     "op3_token_counts": token_count.op3,
     "op4_decontaminate": decontaminate.op4,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_minhash_dedup": minhash_dedup.OP1_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op8_substring_dedup": substring_dedup.OP8_SQL,
 }
