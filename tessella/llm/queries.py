@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash_dedup, pack, simhash, substring_dedup, token_count
+from . import decontaminate, minhash_dedup, pack, quality, simhash, substring_dedup, token_count
 
 QUERIES = {
     "op1_minhash_dedup": minhash_dedup.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontaminate": decontaminate.op4,
     "op5_simhash": simhash.op5,
     "op8_substring_dedup": substring_dedup.op8,
+    "op10_quality": quality.op10,
 }
 
 SQL = {
