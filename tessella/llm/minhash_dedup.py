@@ -36,8 +36,8 @@ from .components import connected_components
 GRAM = 5
 PERCENT = 80
 ROWS = 4
-#: Rows of one side of a comparison block.
-BLOCK_ROWS = 1024
+#: Shingles of one side of a comparison block.
+BLOCK_SHINGLES = 1 << 20
 #: Text confirmed together, and text of one star's share.
 GROUP_BYTES = 8 << 20
 SHARE_BYTES = 4 << 20
@@ -94,20 +94,34 @@ def _likely(percent: int):
     return run
 
 
-def _crossings(percent: int, rows: int):
-    """Likely pairs of different components in the blocks of unsettled buckets."""
+def _cells(*columns: np.ndarray) -> list[int]:
+    """Edges of the runs in which all columns stay the same."""
+    if not len(columns[0]):
+        return []
+    new = np.ones(len(columns[0]) + 1, bool)
+    new[1:-1] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.flatnonzero(new).tolist()
+
+
+def _crossings(percent: int):
+    """In each block of an unsettled bucket: who has likely partners in other components, and the partners.
+
+    One row for each such outsider with the list of its partners, and one for each partner, so the
+    rows stay in proportion to the members however many pairs there are.
+    """
 
     def run(key, table):
-        out_a, out_b, out_na, out_nb = [], [], [], []
         table = table.sort_by([("h", "ascending"), ("part", "ascending"), ("side", "ascending")])
         h, part, side, rep, n, comp = (table.column(c).to_numpy() for c in ("h", "part", "side", "rep", "n", "comp"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
         band = np.array(table.column("bands").combine_chunks().flatten()).reshape(len(h), -1)
-        edge = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (part[1:] != part[:-1]), [True]])) if len(h) else []
+        rows, partners = [], []
+        edge = _cells(h, part)
         for a, b in zip(edge, edge[1:]):
-            mid = a + int(np.searchsorted(side[a:b], 1))  # side 0: outside the largest component; 1: all members
+            mid = a + int(np.searchsorted(side[a:b], 1))  # side 0: outside the largest component; 1 and 2: all members
             if mid in (a, b):
                 continue
+            met = np.zeros(b - mid, bool)
             for i in range(a, mid):
                 j = np.arange(mid, b)
                 # Two outsiders meet twice; take them once. Sizes must allow the similarity.
@@ -117,44 +131,78 @@ def _crossings(percent: int, rows: int):
                 j = j[(sketch[j] == sketch[i]).mean(1) >= _least_likely(np.minimum(n[j], n[i]), percent)]
                 # Of the buckets that both share, only the first reports them.
                 j = j[band[j, np.argmax(band[j] == band[i], axis=1)] == h[i]]
-                out_a.append(np.full(len(j), rep[i]))
-                out_b.append(rep[j])
-                out_na.append(np.full(len(j), n[i]))
-                out_nb.append(n[j])
-        cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"a": cat(out_a), "b": cat(out_b), "na": cat(out_na), "nb": cat(out_nb)})
+                if len(j):
+                    met[j - mid] = True
+                    rows.append(i)
+                    partners.append(rep[j].tolist())
+            members = (np.flatnonzero(met) + mid).tolist()
+            rows += members
+            partners += [None] * len(members)
+        out = table.select(["h", "part", "rep", "n", "comp"]).take(pa.array(rows, pa.int64()))
+        return out.append_column("partners", pa.array(partners, pa.list_(pa.int64())))
 
     return run
 
 
+def _confirm_crossings(gram: int, percent: int):
+    """One link at most between an outsider and each other component of its block, on full shingle sets."""
+
+    def run(key, table):
+        table = table.sort_by([("h", "ascending"), ("part", "ascending")])
+        h, part, rep, comp = (table.column(c).to_numpy() for c in ("h", "part", "rep", "comp"))
+        partners = table.column("partners").to_pylist()
+        left, right = [], []
+        edge = _cells(h, part)
+        for a, b in zip(edge, edge[1:]):
+            sets = _sets(table.column("_text").slice(a, b - a).combine_chunks(), gram)
+            place: dict[int, list[int]] = {}
+            for i in range(a, b):
+                if partners[i] is None:
+                    place.setdefault(int(rep[i]), []).append(i)
+            for i in range(a, b):
+                mine = [j for x in partners[i] or () for j in place.get(x, ())]
+                for j in _linked(sets[i - a], [sets[j - a] for j in mine], percent):
+                    left.append(int(rep[i]))
+                    right.append((int(comp[mine[j]]), int(rep[mine[j]])))
+        once = {(a, c): b for a, (c, b) in zip(left, right)}
+        return pa.table({"a": pa.array([a for a, _ in once], pa.int64()), "b": pa.array(list(once.values()), pa.int64())})
+
+    return run
+
+
+def _sets(texts: pa.Array, gram: int) -> list[np.ndarray]:
+    sets: list[np.ndarray] = []
+    for _, part in slices(texts):
+        hashes, first = shingle_sets(part, gram)
+        sets += [hashes[i:j] for i, j in zip(first, first[1:])]
+    return sets
+
+
+def _linked(own: np.ndarray, others: list[np.ndarray], percent: int) -> list[int]:
+    """Which of the other sets reach the similarity."""
+    some = [k for k, x in enumerate(others) if len(x)]
+    if not len(own) or not some:
+        return []
+    size = np.array([len(others[k]) for k in some])
+    joined = np.concatenate([others[k] for k in some])
+    place = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+    both = np.add.reduceat((own[place] == joined).astype(np.int64), np.cumsum(size) - size)
+    return [some[k] for k in np.flatnonzero(100 * both >= percent * (size + len(own) - both))]
+
+
 def _confirm(gram: int, percent: int):
     """Links among candidates, on full shingle sets."""
 
     def run(key, table):
         table = table.sort_by([("a", "ascending"), ("salt", "ascending")])
-        texts = table.column("_text").combine_chunks()
         a, salt, node = (table.column(c).to_numpy() for c in ("a", "salt", "_id"))
-        sets: list[np.ndarray] = []
-        for _, part in slices(texts):
-            hashes, first = shingle_sets(part, gram)
-            sets += [hashes[i:j] for i, j in zip(first, first[1:])]
         left, right = [], []
-        edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (salt[1:] != salt[:-1]), [True]])) if len(a) else []
+        edge = _cells(a, salt)
         for i, j in zip(edge, edge[1:]):
-            centres = [k for k in range(i, j) if node[k] == a[k]]
-            members = [k for k in range(i, j) if node[k] != a[k] and len(sets[k])]
-            if not members:
-                continue
-            size = np.array([len(sets[k]) for k in members])
-            joined = np.concatenate([sets[k] for k in members])
-            first = np.cumsum(size) - size
-            for c in centres:
-                own = sets[c]
-                if not len(own):
-                    continue
-                place = np.minimum(np.searchsorted(own, joined), len(own) - 1)
-                both = np.add.reduceat((own[place] == joined).astype(np.int64), first)
-                for k in np.flatnonzero(100 * both >= percent * (size + len(own) - both)):
+            sets = _sets(table.column("_text").slice(i, j - i).combine_chunks(), gram)
+            members = [k for k in range(i, j) if node[k] != a[k]]
+            for c in (k for k in range(i, j) if node[k] == a[k]):
+                for k in _linked(sets[c - i], [sets[k - i] for k in members], percent):
                     left.append(a[i])
                     right.append(node[members[k]])
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
@@ -215,9 +263,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     known = cut(connected_components(links), "minhash-known")
 
     settled = buckets.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    size = settled.groupBy("h", "comp").agg(F.count("*").alias("members"))
-    main = size.groupBy("h").agg(F.max_by("comp", F.struct("members", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("members").alias("members"), F.max("members").alias("most")).where("comps > 1")
-    main = main.select("h", "main", F.ceil(F.col("members") / BLOCK_ROWS).alias("columns"), F.ceil((F.col("members") - F.col("most")) / BLOCK_ROWS).alias("lines"))
+    size = settled.groupBy("h", "comp").agg(F.count("*").alias("members"), F.sum("n").alias("volume"))
+    main = size.groupBy("h").agg(F.max_by("comp", F.struct("members", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("volume").alias("volume"), F.max_by("volume", F.struct("members", "comp")).alias("inner")).where("comps > 1")
+    main = main.select("h", "main", F.ceil(F.col("volume") / BLOCK_SHINGLES).alias("columns"), F.ceil((F.col("volume") - F.col("inner")) / BLOCK_SHINGLES).alias("lines"))
     code = F.transform("bands", lambda x, i: F.xxhash64(i, x))
     open_ = settled.join(main, "h").join(classes.select("rep", "sketch", code.alias("bands")), "rep")
     mine = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n))
@@ -229,9 +277,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     cells = to_lines.select(shape).union(to_columns.select(shape))
     volume = settled.join(main, "h").agg(F.count("*")).first()[0]
     groups = max(2 * cores, -(-volume // 20_000))
-    met = cells.withColumn("_group", F.pmod(F.xxhash64("h", "part"), F.lit(groups))).groupBy("_group").applyInArrow(_crossings(percent, rows), "a long, b long, na long, nb long")
-    crossing = cut(met.distinct(), "minhash-crossings")
-    more = _links(crossing, texts, gram, percent, cores)
+    shape = "h long, part long, rep long, n long, comp long, partners array<long>"
+    crossing = cut(cells.withColumn("_group", F.pmod(F.xxhash64("h", "part"), F.lit(groups))).groupBy("_group").applyInArrow(_crossings(percent), shape), "minhash-crossings")
+    volume = int(crossing.agg(F.sum("n")).first()[0] or 0) * _PER_SHINGLE
+    groups = max(2 * cores, -(-volume // GROUP_BYTES))
+    got = crossing.join(texts.withColumnRenamed("_id", "rep"), "rep").withColumn("_group", F.pmod(F.xxhash64("h", "part"), F.lit(groups)))
+    more = got.groupBy("_group").applyInArrow(_confirm_crossings(gram, percent), "a long, b long")
     group = cut(connected_components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "minhash-groups")
     for table in (buckets, texts, star, links, known, crossing):
         drop(table)
