@@ -6,6 +6,8 @@ full-width space carries ``(?U)``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,15 @@ STOP_WORDS = (
 ).split()
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it.
+
+    Column expressions have no names for parts; without this, nested cleaning steps double the
+    expression at every level.
+    """
+    return F.get(F.transform(F.array(c), body), 0)
+
+
 def strip(c: Column) -> Column:
     """Without leading and trailing white space of any kind."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -45,15 +56,20 @@ def number(c: Column) -> Column:
     last digits is a decimal point, one trailing percent sign is dropped. Dashes
     and empty text are no numbers.
     """
-    s = strip(halfwidth(c))
-    negated = s.startswith("(") & s.endswith(")")
-    inner = F.when(negated, F.substr(s, F.lit(2), F.length(s) - 2)).otherwise(s)
-    plain = F.when(inner.rlike(DECIMAL_COMMA), F.translate(inner, "，,", "..")).otherwise(F.translate(inner, ",， ", ""))
-    plain = strip(F.regexp_replace(plain, "%$", ""))
-    value = F.when(~s.isin(DASHES) & plain.rlike(NUMERIC), plain.try_cast("double"))
-    # As in a float, an integer keeps its kind only where no point was written.
-    whole = (value == F.floor(value)) & ~plain.contains(".") & (F.abs(value) < 1e18)
-    return F.when(value.isNotNull(), F.struct(F.when(negated, -value).otherwise(value).alias("num"), whole.alias("is_int")))
+    negated = lambda s: s.startswith("(") & s.endswith(")")
+
+    def bare(s: Column) -> Column:
+        inner = F.when(negated(s), F.substr(s, F.lit(2), F.length(s) - 2)).otherwise(s)
+        plain = let(inner, lambda x: F.when(x.rlike(DECIMAL_COMMA), F.translate(x, "，,", "..")).otherwise(F.translate(x, ",， ", "")))
+        return let(strip(F.regexp_replace(plain, "%$", "")), lambda t: F.when(t.rlike(NUMERIC) & ~s.isin(DASHES), made(s, t)))
+
+    def made(s: Column, t: Column) -> Column:
+        # As in a float, an integer keeps its kind only where no point was written.
+        value = t.try_cast("double")
+        whole = (value == F.floor(value)) & ~t.contains(".") & (F.abs(value) < 1e18)
+        return F.struct(F.when(negated(s), -value).otherwise(value).alias("num"), whole.alias("is_int"))
+
+    return let(strip(halfwidth(c)), bare)
 
 
 def digits(num: Column, pattern: str) -> Column:

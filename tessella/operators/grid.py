@@ -238,9 +238,9 @@ def typed(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     windows of both results; a table's rows come from one HTML value and are never many.
     """
     whole = Window.partitionBy("table_id")
-    number = X.number(F.col("text"))
+    cells = cells.withColumn("_number", F.when(F.col("pos") == 1, X.number(F.col("text"))))
     wide = F.bool_or(F.col("is_anchor") & (F.col("colspan") > 1) & (F.col("pos") <= 1)).over(whole)
-    second = F.bool_and(F.when(F.col("pos") == 1, number.isNull())).over(whole)
+    second = F.bool_and(F.when(F.col("pos") == 1, F.col("_number").isNull())).over(whole)
     two = F.coalesce((F.max("pos").over(whole) + 1 > 2) & wide & second, F.lit(False))
     laid = cells.select("table_id", "pos", "col", "text", F.when(two, 2).otherwise(1).alias("head"))
     base = X.strip(F.regexp_replace("text", "\n", " "))
@@ -254,6 +254,6 @@ def typed(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     width = tcols.groupBy("table_id").agg(F.max("c").alias("last"))
     placed = lines.join(width, "table_id").select("table_id", (F.col("pos") - F.col("head")).alias("r"), "held", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("c"))
     text = F.nullif(F.coalesce(F.try_element_at("held", F.col("c")), F.lit("")), F.lit(""))
-    n = X.number(text)
-    kind = F.when(text.isNull(), "null").when(n.isNotNull(), "num").otherwise("text")
-    return tcols, placed.select("table_id", "r", "c", kind.alias("kind"), n["num"].alias("num"), n["is_int"].alias("is_int"), F.when(kind == "text", X.strip(text)).alias("text"))
+    read = placed.select("table_id", "r", "c", text.alias("t")).withColumn("n", X.number(F.col("t")))
+    kind = F.when(F.col("t").isNull(), "null").when(F.col("n").isNotNull(), "num").otherwise("text")
+    return tcols, read.select("table_id", "r", "c", kind.alias("kind"), F.col("n.num").alias("num"), F.col("n.is_int").alias("is_int"), F.when(kind == "text", X.strip(F.col("t"))).alias("text"))

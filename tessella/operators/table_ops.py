@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..scratch import cut
 from ..shipping import ship
 
 KINDS = ["cell", "cells", "diff", "sum", "avg", "count", "subitems", "nonzero", "ratio_sum", "contains", "argmax", "argmin", "rowmax", "rowmin", "colcount", "const", "seq"]
@@ -42,28 +43,30 @@ def _result(node, value=None, items=None, error=None):
     ]
 
 
-def nodes(queries: DataFrame) -> DataFrame:
-    """Operator objects of ``queries`` (question_id, table_id, op_json), with ``seq`` unrolled.
+def nodes(queries: DataFrame) -> tuple[DataFrame, set[str]]:
+    """Operator objects of ``queries`` (question_id, table_id, op_json), with ``seq`` unrolled, and the operators that occur.
 
     Columns: node, question_id, table_id, path, op, arg (VARIANT), bad. Code fences
     around the JSON go. Nesting is unrolled as deep as the text of any query goes.
     """
     said = X.strip_fence(F.col("op_json"))
     rows = queries.select("question_id", "table_id", F.array().cast("array<int>").alias("path"), F.try_parse_json(said).alias("arg"))
-    deep = queries.agg(F.max(F.regexp_count("op_json", F.lit('"seq"')))).first()[0] or 0
-    op = lambda: F.try_variant_get("arg", "$.op", "string")
-    out, level = [], rows.withColumn("op", op())
-    for _ in range(deep):
+    named = F.regexp_extract_all("op_json", F.lit(r'"op"\s*:\s*"(\w+)"'), F.lit(1))
+    seen = queries.select(F.size(F.filter(named, lambda k: k == "seq")).alias("deep"), F.explode_outer(F.array_distinct(named)).alias("k"))
+    found = dict(seen.where(F.col("k").isin(KINDS)).groupBy("k").agg(F.max("deep")).collect())  # a row for each operator
+    op = F.try_variant_get("arg", "$.op", "string")
+    out, level = [], rows.withColumn("op", op)
+    for _ in range(max(found.values(), default=0)):
         out.append(level)
         below = level.where("op = 'seq'").select("question_id", "table_id", "path", F.posexplode(F.try_variant_get("arg", "$.ops", "array<variant>")).alias("i", "arg"))
-        level = below.select("question_id", "table_id", F.concat("path", F.array("i")).alias("path"), "arg").withColumn("op", op())
+        level = below.select("question_id", "table_id", F.concat("path", F.array("i")).alias("path"), "arg").withColumn("op", op)
     out.append(level)
     whole = out[0]
     for x in out[1:]:
         whole = whole.union(x)
     node = F.concat(F.col("question_id"), F.lit("/"), F.array_join(F.transform("path", lambda i: i.cast("string")), "."))
     known = F.coalesce(F.col("op").isin(KINDS), F.lit(False))
-    return whole.select(node.alias("node"), "question_id", "table_id", "path", "op", "arg", F.when(~known, F.concat(F.lit("unknown op: "), F.coalesce("op", F.lit("null")))).alias("bad"))
+    return whole.select(node.alias("node"), "question_id", "table_id", "path", "op", "arg", F.when(~known, F.concat(F.lit("unknown op: "), F.coalesce("op", F.lit("null")))).alias("bad")), set(found)
 
 
 def labels(tcells: DataFrame) -> DataFrame:
@@ -102,23 +105,24 @@ def execute(queries: DataFrame, tcols: DataFrame, tcells: DataFrame) -> DataFram
     joins are on table_id (and row or column), which all inputs can be partitioned by.
     """
     ship(queries.sparkSession)
-    n = nodes(queries)
+    n, kinds = nodes(queries)
+    n = cut(n.withColumn("arg", F.to_json("arg")), "nodes").withColumn("arg", F.try_parse_json("arg"))
     first = labels(tcells)
-    parts = [
-        n.where("bad IS NOT NULL").select(*_result(F.col("node"), error=F.col("bad"))),
-        _constants(n),
-        _references(n, tcols, tcells, first),
-        _columns(n, tcols, tcells, first),
-        _counts(n, tcols, tcells),
-        _colcounts(n, tcols, tcells),
-        _extremes(n, tcols, tcells),
-        _row_extremes(n, tcols, tcells, first),
-        _nonzero(n, tcols, tcells, first),
-        _subitems(n, tcells, first),
+    families = [
+        ({"const"}, lambda: _constants(n)),
+        ({"cell", "cells", "diff", "sum", "avg"}, lambda: _references(n, tcols, tcells, first)),
+        ({"sum", "avg", "ratio_sum"}, lambda: _columns(n, tcols, tcells, first)),
+        ({"count", "contains"}, lambda: _counts(n, tcols, tcells)),
+        ({"colcount"}, lambda: _colcounts(n, tcols, tcells)),
+        ({"argmax", "argmin"}, lambda: _extremes(n, tcols, tcells)),
+        ({"rowmax", "rowmin"}, lambda: _row_extremes(n, tcols, tcells, first)),
+        ({"nonzero"}, lambda: _nonzero(n, tcols, tcells, first)),
+        ({"subitems"}, lambda: _subitems(n, tcells, first)),
     ]
-    flat = parts[0]
-    for p in parts[1:]:
-        flat = flat.union(p)
+    flat = n.where("bad IS NOT NULL").select(*_result(F.col("node"), error=F.col("bad")))
+    for uses, plan in families:
+        if uses & kinds:
+            flat = flat.union(plan())
     return _compose(n, flat)
 
 
