@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, minhash_dedup, pack, quality, substring_dedup
-from tessella.llm._scratch import cut
+from tessella.scratch import cut
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Words of a passage that counts as repeated, and of one that counts as leaked.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import cut, drop
+from ..scratch import cut, drop
 
 
 def connected_components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from ..shipping import ship
 from ._minhash import BINS, bands, shingle_sets, signatures, sketches
-from ._scratch import cut, drop
+from ..scratch import cut, drop
 from ._words import slices
 from .components import connected_components
 

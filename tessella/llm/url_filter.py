@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._scratch import cut, drop
+from ..scratch import cut, drop
 
 # The rules of the registered query (host, path, verdict).
 RULES = [
