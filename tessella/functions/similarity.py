@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -39,11 +40,11 @@ def best_window(a: str, b: str) -> float:
     return max(indel(short, long[max(0, i) : i + n]) for i in range(1 - n, len(long)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel(x, y) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([best_window(x, y) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")

@@ -19,6 +19,11 @@ def _of(agg: str, where: str) -> str:
     return f"SELECT {agg} FROM s WHERE s.question_id = q.question_id AND {where}"
 
 
+def _cell(p: str, y: int) -> str:
+    """A statement's cell; an empty one is stood for by the first number of its row."""
+    return f"SELECT coalesce(max(v) FILTER (y = {y}), arg_min(v, y)) FROM s WHERE s.question_id = q.question_id AND p = '{p}'"
+
+
 def _text(expression: str) -> str:
     return f"WITH {_S} SELECT question_id, ({expression}) AS text, {_OK} FROM q"
 
@@ -58,9 +63,9 @@ FROM s JOIN (VALUES ('金额:上期', 1995), ('金额:本期', 1996), ('金额:
     "unit_notes": """SELECT CAST(s_suppkey AS VARCHAR) AS table_id, CASE s_suppkey % 3 WHEN 0 THEN '元' WHEN 1 THEN '万元' ELSE '千元' END AS unit_note,
 2 AS n_rows, 2 AS n_cols, false AS has_data, false AS masked FROM supplier""",
     "op_const": _num("7"),
-    "op_cell": _num(_of("v", "p = '2-HIGH' AND y = 1996")),
-    "op_cells": _listed(f"CAST(({_of('v', 'p = $$5-LOW$$ AND y = 1998')}) AS VARCHAR) || '|' || CAST(({_of('v', 'p = $$1-URGENT$$ AND y = 1995')}) AS VARCHAR)"),
-    "op_diff": _num(f"({_of('v', 'p = $$1-URGENT$$ AND y = 1999')}) - ({_of('v', 'p = $$5-LOW$$ AND y = 1999')})"),
+    "op_cell": _num(_cell("2-HIGH", 1996)),
+    "op_cells": _listed(f"CAST(({_cell('5-LOW', 1998)}) AS VARCHAR) || '|' || CAST(({_cell('1-URGENT', 1995)}) AS VARCHAR)"),
+    "op_diff": _num(f"({_cell('1-URGENT', 1999)}) - ({_cell('5-LOW', 1999)})"),
     "op_sum": _num(_of("sum(v)", "y = 1997")),
     "op_sum_rows": _num(_of("sum(v * CASE p WHEN '2-HIGH' THEN 2 ELSE 1 END)", "y = 1997 AND p IN ('2-HIGH', '5-LOW')")),
     "op_avg": _num(_of("CAST(sum(v) AS DOUBLE) / count(*)", "y = 1997")),
@@ -72,7 +77,7 @@ FROM s JOIN (VALUES ('金额:上期', 1995), ('金额:本期', 1996), ('金额:
     "op_rowmax": _text("SELECT CAST(y AS VARCHAR) FROM s WHERE s.question_id = q.question_id AND p = '2-HIGH' ORDER BY v DESC, y LIMIT 1"),
     "op_rowmin": _text("SELECT CAST(y AS VARCHAR) FROM s WHERE s.question_id = q.question_id AND p = '2-HIGH' ORDER BY v, y LIMIT 1"),
     "op_nonzero": _listed("(SELECT string_agg(p, '|' ORDER BY p) FROM s WHERE s.question_id = q.question_id AND y = 1998 AND p > '2-HIGH' AND v <> 0)"),
-    "op_seq": _listed(f"CAST(({_of('sum(v)', 'y = 1995')}) AS VARCHAR) || '|' || CAST(({_of('v', 'p = $$5-LOW$$ AND y = 1996')}) AS VARCHAR)"),
+    "op_seq": _listed(f"CAST(({_of('sum(v)', 'y = 1995')}) AS VARCHAR) || '|' || CAST(({_cell('5-LOW', 1996)}) AS VARCHAR)"),
     "op_subitems": f"SELECT r_name AS question_id, string_agg(n_name, '|' ORDER BY n_nationkey) AS listed, {_OK} FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1",
     "op_colcount": f"""WITH k AS (SELECT p_brand, p_type, count(DISTINCT p_size) AS n FROM part GROUP BY 1, 2)
 SELECT p_brand AS question_id, (SELECT p_type FROM k WHERE k.p_brand = b.p_brand ORDER BY n DESC, p_type LIMIT 1) AS text, {_OK} FROM (SELECT DISTINCT p_brand FROM part) b""",

@@ -67,8 +67,11 @@ def _text(op: dict):
 
 
 def _listed(op: dict):
-    shown = F.array_join(F.transform("items", lambda x: F.when(x["kind"] == "num", X.digits(x["num"], "0.00")).otherwise(x["text"])), "|")
-    return lambda spark, sf_dir: _ask(spark, sf_dir, op).select("question_id", shown.alias("listed"), "error")
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        shown = F.array_join(F.transform("items", lambda x: F.when(x["kind"] == "num", X.digits(x["num"], "0.00")).otherwise(x["text"])), "|")
+        return _ask(spark, sf_dir, op).select("question_id", shown.alias("listed"), "error")
+
+    return query
 
 
 def _ref(row: str, col: int) -> dict:
