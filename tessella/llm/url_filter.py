@@ -4,7 +4,9 @@ Trust spreads along links from hosts that rules allow (personalised PageRank);
 distrust spreads against them, from hosts that rules block to those that link
 to them. Both walks start from the same kind of seed: the share of a host's
 pages that rules allow, or block. A host whose distrust exceeds its trust by
-``threshold`` is blocked where no rule fits. DataFrame operations only.
+``threshold`` is blocked where no rule fits; of the walk's score and the host's own
+seed the larger counts, since a host stays what it is however much it passes on.
+DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -118,8 +120,10 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, id_col:
     share = lambda v: F.avg(F.when(F.col("verdict") == v, 1.0).otherwise(0.0))
     seeds = cut(judged.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust")), "urls-seeds")
     edges = cut(host_edges(read), "urls-edges")
-    scores = propagate(edges, seeds)
-    blocked = cut(scores.where(F.col("distrust") - F.col("trust") >= threshold).select("host", F.lit(True).alias("blocked_host")), "urls-blocked")
+    own = seeds.select("host", F.col("trust").alias("own_trust"), F.col("distrust").alias("own_distrust"))
+    scores = propagate(edges, seeds).join(own, "host", "left")
+    excess = F.greatest("distrust", "own_distrust") - F.greatest("trust", "own_trust")  # nulls don't count
+    blocked = cut(scores.where(excess >= threshold).select("host", F.lit(True).alias("blocked_host")), "urls-blocked")
     drop(seeds)
     drop(edges)
     if blocked.count() <= BROADCAST_HOSTS:
