@@ -22,4 +22,5 @@ SQL = {
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op6_chat_rotation": chat.OP6_SQL,
     "op8_substring_dedup": substring_dedup.OP8_SQL,
+    "op9_license_scan": license_scan.OP9_SQL,
 }
