@@ -31,7 +31,7 @@ WINDOW = 13
 #: Text of one bucket of documents.
 BUCKET_BYTES = 8 << 20
 #: Text whose windows make up one block of the index.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
 
 _ASK = "_block int, _bucket int, _hashes binary, _more binary"
 _ANSWER = "_bucket int, _round int, _block int, _mask binary, _source binary"
