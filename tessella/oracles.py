@@ -86,7 +86,7 @@ SELECT p_brand AS question_id, (SELECT p_type FROM k WHERE k.p_brand = b.p_brand
   UNION ALL SELECT question_id || '-sum', (SELECT CAST(sum(v) AS VARCHAR) FROM s WHERE s.question_id = q.question_id AND y = 1997) FROM q
   UNION ALL SELECT question_id || '-top', '{{"row_count": ' || (SELECT count(DISTINCT p) + 1 FROM s WHERE s.question_id = q.question_id) || ', "col_count": 8, "cells": [' ||
     (SELECT string_agg('{{"row": 0, "col": ' || i || ', "rowspan": 1, "colspan": 1, "text": "' || CASE i WHEN 0 THEN '优先级' ELSE CAST(1994 + i AS VARCHAR) END || '"}}', ', ' ORDER BY i) FROM range(8) r(i)) || ']}}' FROM q)
-SELECT question_id, answer, 0.9 AS score, 'high' AS confidence FROM a""",
+SELECT question_id, answer, CAST(0.9 AS DOUBLE) AS score, 'high' AS confidence FROM a""",
     "format_numbers": f"SELECT c_custkey, {_PLAIN.format('CAST(round(c_acctbal, 2) AS DECIMAL(18, 2))')} AS answer FROM customer",
     "format_arrays": """SELECT o_orderkey, '["' || o_orderpriority || '", ' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE ', ""' END || ', ' ||
   CASE WHEN o_custkey = 0 THEN '"00"' ELSE '"0' || o_custkey || '"' END || ']' AS answer FROM orders""",
@@ -123,7 +123,7 @@ SELECT query_id, chunk_id, true AS directed FROM r WHERE rank = 1""",
     "rerank_overlap": """WITH h AS (SELECT p_brand, list_slice(list_sort(list(DISTINCT p_type)), 1, 3) AS h FROM part GROUP BY 1),
 t AS (SELECT DISTINCT p_type AS q FROM part),
 w AS (SELECT q, list_distinct(CASE WHEN length(q) <= 4 THEN [q] ELSE list_concat([q], list_transform(range(1, length(q)), lambda i: q[i : i + 1]), list_transform(range(1, length(q) - 1), lambda i: q[i : i + 2])) END) AS t FROM t),
-x AS (SELECT q AS query_id, p_brand AS chunk_id, round(0.05 * len(list_filter(t, lambda a: len(list_filter(h, lambda b: contains(b, a) OR contains(a, b))) > 0)), 4) AS rerank_bonus,
+x AS (SELECT q AS query_id, p_brand AS chunk_id, round(CAST(0.05 AS DOUBLE) * len(list_filter(t, lambda a: len(list_filter(h, lambda b: contains(b, a) OR contains(a, b))) > 0)), 4) AS rerank_bonus,
   length(p_brand) / 100.0 AS s FROM w, h),
 r AS (SELECT query_id, chunk_id, rerank_bonus, round(s + rerank_bonus, 4) AS adjusted_score FROM x),
 o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY adjusted_score DESC, chunk_id) AS INTEGER) AS place FROM r)
