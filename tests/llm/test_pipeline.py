@@ -59,3 +59,18 @@ def test_stages_catch_what_is_planted_and_keep_the_rest(spark, planted):
 
 def test_run(spark, planted):
     assert pipeline.run(spark, planted[0]).where("length > 0").count() > 0 and pipeline.ORACLE_SQL is None
+
+
+ODD = [(1, "a b c", "en", "s", 5), (1, "a b c", "en", "s", 5), (None, None, None, None, None), (2, None, None, "s", 0), (3, "", "en", None, None), (4, "word " * 30000, "en", "s", 1)]
+
+
+@pytest.mark.parametrize("rows", [[], ODD])
+def test_stages_on_odd_tables(spark, tmp_path, rows):
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, shape).withColumn("n_words", F.lit("clash")).withColumn("kept", F.lit(1))
+    spark.createDataFrame([(None, None, None), (1, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, None), (1, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == COLUMNS and out.count() == len(rows)  # nothing here is bad, repeated by another document or leaked
+    assert pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).groupBy("doc_id").count().count() == len({r[0] for r in rows})
