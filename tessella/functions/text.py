@@ -137,17 +137,17 @@ def compact(c: Column) -> Column:
 
 def garbled(c: Column) -> Column:
     """Four characters or more, over half of them (white space apart) neither letters nor digits."""
-    solid = F.regexp_replace(c, r"(?U)\s", "")
-    odd = F.length(F.regexp_replace(solid, r"[\p{L}\p{N}]", ""))
+    solid = F.regexp_replace(c, r"(?U)\s+", "")
+    odd = F.length(F.regexp_replace(solid, r"[\p{L}\p{N}]+", ""))
     return (F.length(solid) >= 4) & (odd > 0.5 * F.length(solid))
 
 
 def garbled_layer(c: Column) -> Column:
     """A text layer of 100 characters or more with over half symbols and under a quarter CJK characters and Latin words."""
-    solid = F.regexp_replace(c, r"(?U)\s", "")
+    solid = F.regexp_replace(c, r"(?U)\s+", "")
     n = F.length(solid)
-    symbols = F.length(F.regexp_replace(solid, r"[\p{L}\p{N}]", ""))
-    cjk = F.length(F.regexp_replace(c, r"[^一-鿿]", ""))
+    symbols = F.length(F.regexp_replace(solid, r"[\p{L}\p{N}]+", ""))
+    cjk = F.length(F.regexp_replace(c, r"[^一-鿿]+", ""))
     latin = F.length(F.regexp_replace(F.array_join(F.regexp_extract_all(c, F.lit(r"[A-Za-z]{2,}"), F.lit(0)), ""), r"\s", ""))
     return (n >= 100) & (symbols > 0.5 * n) & ((cjk + latin) < 0.25 * n)
 
@@ -155,8 +155,8 @@ def garbled_layer(c: Column) -> Column:
 def tokens(c: Column) -> Column:
     """Distinct words of two or more ASCII letters and digits, and pairs of neighbouring CJK characters (others taken out first)."""
     ascii_words = F.transform(F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9]{2,}"), F.lit(0)), F.lower)
-    cjk = F.regexp_replace(c, r"[^一-鿿]", "")
-    return F.array_distinct(F.concat(ascii_words, _grams(cjk, 2)))
+    pairs = let(F.regexp_replace(c, r"[^一-鿿]+", ""), lambda cjk: _grams(cjk, 2))
+    return F.array_distinct(F.concat(ascii_words, pairs))
 
 
 def _grams(c: Column, n: int) -> Column:

@@ -90,14 +90,15 @@ def audit(rows: DataFrame) -> DataFrame:
     (largest plausible count, 60 where null). Twelve flags in six groups: content, type, number of
     items, range, repetition and format.
     """
-    a, q, f = X.strip(F.coalesce("answer", F.lit(""))), F.col("question"), F.col("answer_format")
-    listed = a.startswith("[") & a.endswith("]")
-    read = F.from_json(F.when(listed, a), "array<string>")
-    items = F.when(F.size(F.coalesce(read, F.array().cast("array<string>"))) > 0, read).otherwise(F.array(a))
-    first = F.get(items, 0)
-    bare = X.strip(F.translate(first, "¥$€", ""))
-    is_num = bare.rlike(r"^-?[\d,]+\.?\d*%?$")
-    num = F.when(is_num, F.regexp_replace(F.translate(bare, ",", ""), "%$", "").try_cast("double"))
+    # Named step by step: written out, each flag would repeat all steps below it.
+    a, q, f, items, first, num = (F.col(c) for c in ("_a", "question", "answer_format", "_items", "_first", "_num"))
+    rows = rows.withColumn("_a", X.strip(F.coalesce("answer", F.lit(""))))
+    read = X.let(F.from_json(F.when(a.startswith("[") & a.endswith("]"), a), "array<string>"), lambda r: F.when(F.size(r) > 0, r))
+    rows = rows.withColumn("_items", F.coalesce(read, F.array(a))).withColumn("_first", F.get("_items", 0))
+    rows = rows.withColumn("_num", X.let(X.strip(F.translate(first, "¥$€", "")), lambda t: F.when(t.rlike(r"^-?[\d,]+\.?\d*%?$"), F.regexp_replace(F.translate(t, ",", ""), "%$", ""))))
+    is_num = num.isNotNull()
+    rows = rows.withColumn("_value", num.try_cast("double"))
+    num = F.col("_value")
     masked = a.rlike(UNREADABLE)
     asked = F.when(q.rlike("[：:]"), F.regexp_count(F.element_at(F.split(q, "："), -1), F.lit("[、，,]")) + 1).otherwise(0)
     echo = F.exists(items, lambda x: (F.length(X.strip(x)) >= 4) & ~F.translate(X.strip(x), ",.-", "").rlike(r"^\d+$") & F.contains(q, X.strip(x)))

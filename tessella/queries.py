@@ -220,8 +220,8 @@ def range_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = X.tokens(F.col("text"))
-    return _read(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.sha2(F.array_join(F.array_sort(t), " "), 256).alias("digest"))
+    found = X.let(X.tokens(F.col("text")), lambda t: F.struct(F.size(t).cast("long").alias("n"), F.sha2(F.array_join(F.array_sort(t), " "), 256).alias("digest")))
+    return _read(spark, sf_dir, "documents").select("doc_id", found.alias("x")).select("doc_id", "x.n", "x.digest")
 
 
 def query_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
