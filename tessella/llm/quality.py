@@ -24,6 +24,8 @@ from ._words import SPACED, Words, slices
 PASSAGE = 64
 #: Labelled documents that training takes at most; which ones is decided by a hash of their ids.
 SAMPLE = 4000
+#: Passages of a document that training takes at most, evenly spread; scores use all.
+BAG = 64
 HIDDEN, GATE, EPOCHS, RATE, DECAY = 24, 16, 60, 0.01, 1e-4
 #: Text scored at once.
 _SLICE = 2 << 20
@@ -136,8 +138,8 @@ class Attention:
         return self._forward((x - self.mean) * self.scale, first)[3]
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Attention:
-    """Fit on at most ``sample`` labelled documents.
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, bag: int = BAG) -> Attention:
+    """Fit on at most ``sample`` labelled documents, and at most ``bag`` passages of each.
 
     The sample are the labelled ids of the smallest hashes, so a larger table
     brings no more work. Rows of ``labels`` with a null id or label are left out;
@@ -153,7 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         for batch in batches:
             for at, texts in slices(batch.column("_text"), _SLICE):
                 x, first = encode(texts)
-                held = [x[i:j].astype(np.float16).tobytes() for i, j in zip(first, first[1:])]
+                some = [np.arange(i, j) if j - i <= bag else np.linspace(i, j - 1, bag).astype(np.int64) for i, j in zip(first, first[1:])]
+                held = [x[rows].astype(np.float16).tobytes() for rows in some]
                 yield pa.RecordBatch.from_arrays([batch.column("_id").slice(at, len(held)).cast(pa.int64()), batch.column("_y").slice(at, len(held)).cast(pa.float64()), pa.array(held, pa.binary())], ["_id", "_y", "x"])
 
     got = sorted(bags.mapInArrow(run, "_id long, _y double, x binary").collect(), key=lambda r: (r[0], bytes(r[2])))
