@@ -14,8 +14,9 @@ from tessella.llm import decontaminate, minhash_dedup, pack, quality, substring_
 from tessella.scratch import cut
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Words of a passage that counts as repeated, and of one that counts as leaked.
-REPEATED_WORDS = 50
+#: Words of a passage that counts as repeated, and of one that counts as leaked. Passages of over 50 words are
+#: meant; a few words less, since those at its ends may be joined to what stands beside them.
+REPEATED_WORDS = 45
 LEAKED_WORDS = 8
 
 
