@@ -165,7 +165,7 @@ def decontaminate(
         held = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
         ids = [x.item for x in held]
         known = sorted({x for x in ids if x is not None})
-        shared = spark.sparkContext.broadcast((_Index([x.text for x in held], window, gram), np.array([known.index(x) if x is not None else -1 for x in ids] if len(known) < 64 else _ranks(ids, known), np.int64), known))
+        shared = spark.sparkContext.broadcast((_Index([x.text for x in held], window, gram), np.array(_ranks(ids, known), np.int64), known))
         last = block == blocks - 1
         out = rows.mapInArrow(_pass(shared, carry, last), state if last else rows.schema)
         rows = out if last else cut(out, "decontaminate")
