@@ -11,9 +11,16 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Rows of an Arrow batch. Whole documents pass through these batches, and both the JVM and the
+#: Python worker hold some of them, so they are kept well below Spark's default of 10,000 rows.
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's source files to the executors, once for each application."""
+    """Send the package's source files to the executors, once for each application, and bound Arrow batches."""
+    if not 0 < int(spark.conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
