@@ -77,7 +77,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, t
     Each round a host keeps ``1 - damping`` of its seed and receives ``damping``
     of what its neighbours send: trust is sent along links in proportion to their
     number, distrust against them. A host that can send nowhere keeps what it has. Rounds end when
-    all scores together move by less than ``tolerance`` a host. Each is written to the
+    no score moves by ``tolerance`` or more, however many hosts there are. Each is written to the
     shared folder; a heavily linked host is summed up in every task first.
     """
     hosts = seeds.select("host").union(edges.select("src")).union(edges.select("dst")).distinct()
@@ -95,7 +95,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, t
         now = nodes.join(got, ["kind", "host"], "left").join(scores.withColumnRenamed("score", "before"), ["kind", "host"])
         value = F.round((1 - damping) * F.col("seed") + damping * F.coalesce("got", F.lit(0.0)), 12)
         after = cut(now.select("kind", "host", value.alias("score"), F.abs(value - F.col("before")).alias("moved")), "urls-scores")
-        moved = after.agg(F.avg("moved")).first()[0] or 0.0
+        moved = after.agg(F.max("moved")).first()[0] or 0.0
         drop(scores)
         scores = after
         if moved < tolerance:

@@ -341,6 +341,19 @@ def test_urls(spark):
     assert url_filter.filter_urls(frame.limit(0), url_filter.RULES).count() == 0
 
 
+def host_verdicts(spark, links, others=0):
+    """Verdicts of hosts with one page each; those that start with "bad" are blocked by the rule. ``others`` hosts stand alone."""
+    rows = [(i, f"http://{h}.org/{'bad' if h.startswith('bad') else 'x'}", "".join(f'<a href="http://{x}.org/">y</a>' for x in to)) for i, (h, to) in enumerate(links.items())]
+    alone = spark.range(others).select((F.col("id") + len(rows)).alias("page_id"), F.format_string("http://alone%d.org/x", "id").alias("url"), F.lit("").alias("html"))
+    found = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string").union(alone), [("org", "/bad", "block")])
+    return {r["host"].split(".")[0]: r["verdict"] for r in found.where(F.col("page_id") < len(rows)).collect()}
+
+
+def test_isolated_hosts_change_no_verdict(spark):
+    links = {"c": ["a"], "a": ["bad"], "bad": []}
+    assert host_verdicts(spark, links, others=20000) == host_verdicts(spark, links)
+
+
 def test_propagation_is_the_fixed_point(spark):
     rng = random.Random(4)
     hosts = [f"h{i}" for i in range(12)]
