@@ -1,11 +1,13 @@
 """URL verdicts: a rule list first, then link-graph propagation between hosts.
 
-Trust spreads along links from hosts that rules allow (personalised PageRank);
-distrust spreads against them, from hosts that rules block to those that link
-to them. Both walks start from the same kind of seed: the share of a host's
-pages that rules allow, or block. A host whose distrust exceeds its trust by
-``threshold`` is blocked where no rule fits; of the walk's score and the host's own
-seed the larger counts, since a host stays what it is however much it passes on.
+Trust spreads along links from hosts that rules allow; distrust spreads against
+them, from hosts that rules block to those that link to them. Both walks start
+from the same kind of seed: the share of a host's pages that rules allow, or
+block. A host gets the trusted share of the links to it and the distrusted share
+of its own links, damped at each step (personalised PageRank read from the host
+that receives), and never less than its seed: scores stay between 0 and 1,
+however many hosts share a neighbour or pass on what they have. A host whose
+distrust exceeds its trust by ``threshold`` is blocked where no rule fits.
 DataFrame operations only.
 """
 
@@ -71,29 +73,38 @@ def host_edges(pages: DataFrame, *, html_col: str = "html", host_col: str = "hos
     return rows.where("src <> dst AND src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int = ROUNDS, shares: bool = False) -> DataFrame:
     """Trust and distrust of every host of ``edges`` (src, dst, links) and ``seeds`` (host, trust, distrust).
 
     Each round a host keeps ``1 - damping`` of its seed and receives ``damping``
     of what its neighbours send: trust is sent along links in proportion to their
-    number, distrust against them. A host that can send nowhere keeps what it has. Rounds end when
-    no score moves by ``tolerance`` or more, however many hosts there are. Each is written to the
-    shared folder; a heavily linked host is summed up in every task first.
+    number, distrust against them. A host that can send nowhere keeps what it has.
+
+    With ``shares`` a host receives the mean of its neighbours' scores, weighted by
+    links, in place of parts of their mass, and has its seed or ``damping`` of that mean,
+    whichever is larger. A round moves no score by more than ``damping`` times the
+    largest move before, so the defaults reach ``tolerance`` within ``rounds``.
+
+    Rounds end when no score moves by ``tolerance`` or more, however many hosts there
+    are, or after ``rounds``. Each is written to the shared folder; a heavily linked host is summed up in every task first.
     """
     hosts = seeds.select("host").union(edges.select("src")).union(edges.select("dst")).distinct()
     kinds = F.array(F.lit("trust"), F.lit("distrust"))
     nodes = hosts.join(seeds, "host", "left").select(F.explode(kinds).alias("kind"), "host", "trust", "distrust")
     nodes = cut(nodes.select("kind", "host", F.coalesce(F.when(F.col("kind") == "trust", F.col("trust")).otherwise(F.col("distrust")), F.lit(0.0)).alias("seed")), "urls-nodes")
     sent = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "links").union(edges.select(F.lit("distrust"), "dst", "src", "links"))
-    total = sent.groupBy("kind", "host").agg(F.sum("links").alias("total"))
-    moves = sent.join(total, ["kind", "host"]).select("kind", "host", "to", (F.col("links") / F.col("total")).alias("share"))
-    still = nodes.join(total, ["kind", "host"], "left_anti").select("kind", "host", F.col("host").alias("to"), F.lit(1.0).alias("share"))
-    moves = cut(moves.union(still), "urls-moves")
+    end = "to" if shares else "host"
+    total = sent.groupBy("kind", end).agg(F.sum("links").alias("total"))
+    moves = sent.join(total, ["kind", end]).select("kind", "host", "to", (F.col("links") / F.col("total")).alias("share"))
+    if not shares:
+        moves = moves.union(nodes.join(total, ["kind", "host"], "left_anti").select("kind", "host", F.col("host").alias("to"), F.lit(1.0).alias("share")))
+    moves = cut(moves, "urls-moves")
     scores = nodes.select("kind", "host", F.col("seed").alias("score"))
     for _ in range(rounds):
         got = moves.join(scores, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
         now = nodes.join(got, ["kind", "host"], "left").join(scores.withColumnRenamed("score", "before"), ["kind", "host"])
-        value = F.round((1 - damping) * F.col("seed") + damping * F.coalesce("got", F.lit(0.0)), 12)
+        got = damping * F.coalesce("got", F.lit(0.0))
+        value = F.round(F.greatest("seed", got) if shares else (1 - damping) * F.col("seed") + got, 12)
         after = cut(now.select("kind", "host", value.alias("score"), F.abs(value - F.col("before")).alias("moved")), "urls-scores")
         moved = after.agg(F.max("moved")).first()[0] or 0.0
         drop(scores)
@@ -120,10 +131,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, id_col:
     share = lambda v: F.avg(F.when(F.col("verdict") == v, 1.0).otherwise(0.0))
     seeds = cut(judged.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust")), "urls-seeds")
     edges = cut(host_edges(read), "urls-edges")
-    own = seeds.select("host", F.col("trust").alias("own_trust"), F.col("distrust").alias("own_distrust"))
-    scores = propagate(edges, seeds).join(own, "host", "left")
-    excess = F.greatest("distrust", "own_distrust") - F.greatest("trust", "own_trust")  # nulls don't count
-    blocked = cut(scores.where(excess >= threshold).select("host", F.lit(True).alias("blocked_host")), "urls-blocked")
+    scores = propagate(edges, seeds, shares=True)
+    blocked = cut(scores.where(F.col("distrust") - F.col("trust") >= threshold).select("host", F.lit(True).alias("blocked_host")), "urls-blocked")
     drop(seeds)
     drop(edges)
     if blocked.count() <= BROADCAST_HOSTS:

@@ -354,6 +354,28 @@ def test_isolated_hosts_change_no_verdict(spark):
     assert host_verdicts(spark, links, others=20000) == host_verdicts(spark, links)
 
 
+def test_linkers_of_blocked_hosts_are_judged_by_their_own_links(spark):
+    links = {f"a{i}": ["bad"] for i in range(30)} | {"bad": ["clean"], "c": ["d"], "d": ["bad1", "bad2", "bad3"], "bad1": [], "bad2": [], "bad3": []}
+    links |= {"much": ["bad1", "bad2", "clean"], "little": ["bad1", "clean", "e1", "e2"], "clean": ["e1"]}
+    got = host_verdicts(spark, links)
+    assert {h for h, v in got.items() if v == "block"} == {h for h in links if h[0] == "a" or h.startswith("bad") or h in ("c", "d", "much")}
+
+
+def test_shares_are_the_fixed_point(spark):
+    rng = random.Random(5)
+    hosts = [f"h{i}" for i in range(12)]
+    edges = {(a, b): rng.randrange(1, 5) for a in hosts[:9] for b in hosts if a != b and rng.random() < 0.25}
+    seeds = {h: (rng.random(), rng.random()) for h in hosts[:6]}
+    frames = spark.createDataFrame([(*k, v) for k, v in edges.items()], "src string, dst string, links long"), spark.createDataFrame([(h, *s) for h, s in seeds.items()], "host string, trust double, distrust double")
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in url_filter.propagate(*frames, shares=True).collect()}
+    for kind in (0, 1):
+        want = {h: seeds.get(h, (0, 0))[kind] for h in got}
+        for _ in range(200):
+            mean = lambda h: (sum(n * want[e[kind]] for e, n in edges.items() if e[1 - kind] == h), sum(n for e, n in edges.items() if e[1 - kind] == h))
+            want = {h: max(seeds.get(h, (0, 0))[kind], 0.85 * m / n if n else 0) for h in got for m, n in [mean(h)]}
+        assert {h: s[kind] for h, s in got.items()} == pytest.approx(want, abs=1e-3)
+
+
 def test_propagation_is_the_fixed_point(spark):
     rng = random.Random(4)
     hosts = [f"h{i}" for i in range(12)]
