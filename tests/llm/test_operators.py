@@ -419,6 +419,16 @@ def test_licences(spark, odd, none):
         license_scan.scan(odd.withColumnRenamed("score", "places"))
 
 
+def test_licences_whose_key_phrase_comes_first(spark):
+    titles = ["GNU Affero General Public License Version 3", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1", "see CC BY-NC 4.0", "MIT License", "BY-NC 4.0"]
+    rows = list(enumerate([*titles, *("one two three four five six seven eight " + t for t in titles), *["released licensed under the terms of"] * 20]))
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    labels = [sorted({q["label"] for q in r["quotes"]}) for r in got]
+    assert labels[:5] == labels[5:10] == [["agpl"], ["lgpl"], ["cc-by-nc"], ["mit"], []]
+    assert [[q["start"] for q in r["quotes"]] for r in got[:4]] == [[-5], [-5], [-1], [-3]]
+    assert [r["likeness"] for r in got[:5]] == [r["likeness"] for r in got[5:10]]
+
+
 # --- quality ---------------------------------------------------------------------------------
 
 
