@@ -24,8 +24,8 @@ from ._words import SPACED, Words, slices
 PASSAGE = 64
 #: Labelled documents that training takes at most; which ones is decided by a hash of their ids.
 SAMPLE = 4000
-#: Passages of a document that training takes at most, evenly spread; scores use all.
-BAG = 64
+#: Passages that training takes at most over all documents; it takes a document whole or not at all.
+PASSAGES = 256_000
 HIDDEN, GATE, EPOCHS, RATE, DECAY = 24, 16, 60, 0.01, 1e-4
 #: Text scored at once.
 _SLICE = 2 << 20
@@ -138,11 +138,11 @@ class Attention:
         return self._forward((x - self.mean) * self.scale, first)[3]
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, bag: int = BAG) -> Attention:
-    """Fit on at most ``sample`` labelled documents, and at most ``bag`` passages of each.
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, passages: int = PASSAGES) -> Attention:
+    """Fit on at most ``sample`` labelled documents with all their passages, at most ``passages`` together.
 
     The sample are the labelled ids of the smallest hashes, so a larger table
-    brings no more work. Rows of ``labels`` with a null id or label are left out;
+    brings no more work. In order of the hashes, ids whose passages no longer fit are left out. Rows of ``labels`` with a null id or label are left out;
     of an id that is labelled twice the smaller label counts. With no or one class of
     labels the model is a constant, the smoothed share of label 1.
     """
@@ -151,12 +151,24 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     bags = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_text", "_y")
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in slices(batch.column("_text"), _SLICE):
+                many = np.maximum(1, -(-Words(texts, SPACED).count // PASSAGE))
+                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(at, len(many)).cast(pa.int64()), pa.array(many, pa.int64())], ["_id", "n"])
+
+    sizes = bags.mapInArrow(count, "_id long, n long").groupBy("_id").agg(F.sum("n").alias("n"))
+    kept, total = [], 0
+    for i, n in sizes.orderBy(F.xxhash64(F.col("_id").cast(docs.schema[id_col].dataType)), "_id").collect():  # a row for each document of the sample
+        if total + n <= passages:
+            kept, total = [*kept, (i,)], total + n
+    bags = bags.join(F.broadcast(docs.sparkSession.createDataFrame(kept, "_id long")), "_id", "left_semi")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in slices(batch.column("_text"), _SLICE):
                 x, first = encode(texts)
-                some = [np.arange(i, j) if j - i <= bag else np.linspace(i, j - 1, bag).astype(np.int64) for i, j in zip(first, first[1:])]
-                held = [x[rows].astype(np.float16).tobytes() for rows in some]
+                held = [x[i:j].astype(np.float16).tobytes() for i, j in zip(first, first[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("_id").slice(at, len(held)).cast(pa.int64()), batch.column("_y").slice(at, len(held)).cast(pa.float64()), pa.array(held, pa.binary())], ["_id", "_y", "x"])
 
     got = sorted(bags.mapInArrow(run, "_id long, _y double, x binary").collect(), key=lambda r: (r[0], bytes(r[2])))

@@ -453,6 +453,18 @@ def test_quality_odd(spark, odd, none):
         quality.score(odd, model)
 
 
+def test_training_takes_whole_documents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.Attention, "fit", lambda self, x, first, y: seen.append((np.diff(first).tolist(), x)) or self)
+    texts = ["a b", LONG, "c " * 130, "d"]
+    docs, labels = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    quality.train(docs, labels)
+    x, first = quality.encode(pa.array(texts, pa.large_string()))
+    assert seen[0][0] == np.diff(first).tolist() == [1, 313, 3, 1] and (seen[0][1] == x.astype(np.float16)).all()
+    quality.train(docs, labels, passages=312)
+    assert seen[1][0] == [1, 3, 1]
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     x, first, y = rng.standard_normal((9, 5)), np.array([0, 2, 3, 9]), np.array([1.0, 0.0, 1.0])
