@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..shipping import ship
 
 # Labels that are no title.
 STOP_LABELS = ["期末余额", "期初余额", "单位：元", "单位:元"]
@@ -56,45 +52,37 @@ def side_columns(words: DataFrame, rows: DataFrame, left: float, right: float, t
     return texts.join(covered.select("page_id", "side"), ["page_id", "side"], "left_semi")
 
 
-def bands(words: list[tuple[float, float, str]], gap: float, tolerance: float) -> list[list[str]] | None:
-    """Rows of texts from (top, x0, text): a band ends where a word is ``gap`` below the band's first one.
+def bands(words: DataFrame, gap: float = 12.0) -> DataFrame:
+    """Words with the number of their band, from 0: page_id, band, top, x0, text.
 
-    The left edges of the first band of two words or more are the columns; each word goes to the nearest
-    one within ``tolerance``. Note lines with nothing beside them go. None without two columns or without rows.
+    Bands of a page begin at its first height and at each height that is ``gap`` or more below the
+    beginning of the band before; a word is in the last band that begins at or above it.
     """
-    lines: list[list[tuple[float, str]]] = []
-    start = float("-inf")
-    for top, x0, text in sorted(words, key=lambda w: w[:2]):
-        if top - start >= gap:
-            lines.append([])
-            start = top
-        lines[-1].append((x0, text))
-    edges = next((sorted(x for x, _ in line) for line in lines if len(line) > 1), [])
-    if len(edges) < 2:
-        return None
-    rows = []
-    for line in lines:
-        row = [""] * len(edges)
-        for x, text in sorted(line, key=lambda w: w[0]):
-            near, at = min((abs(e - x), i) for i, e in enumerate(edges))
-            if near <= tolerance:
-                row[at] += text
-        if any(row[1:]) or not row[0].startswith(("注释", "注：", "注:")):
-            rows.append(row)
-    return rows or None
+    heights = words.groupBy("page_id").agg(F.array_sort(F.collect_set("top")).alias("tops"))  # heights of one page
+    begun = F.aggregate("tops", F.array().cast("array<double>"), lambda b, t: F.when((F.size(b) == 0) | (t - F.element_at(b, -1) >= gap), F.array_append(b, t)).otherwise(b))
+    begins = heights.select("page_id", begun.alias("begins"))
+    band = F.size(F.filter("begins", lambda b: b <= F.col("top"))) - 1
+    return words.join(begins, "page_id").select("page_id", band.alias("band"), "top", "x0", "text")
 
 
 def rebuild(words: DataFrame, gap: float = 12.0, tolerance: float = 90.0) -> DataFrame:
-    """Text matrix of each page's words: page_id, rows (array of arrays). Banding has state, so a page's words are one call."""
-    ship(words.sparkSession)
-    pages = words.groupBy("page_id").agg(F.collect_list(F.struct("top", "x0", "text")).alias("words"))  # the words of one page
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [bands([(w["top"], w["x0"], w["text"]) for w in ws], gap, tolerance) for ws in b.column("words").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(rows, pa.list_(pa.list_(pa.string())))], ["page_id", "rows"])
+    """Text matrix of each page's words, without ruled lines: page_id, rows (array of arrays; null where there is none).
 
-    return pages.mapInArrow(run, f"page_id {words.schema['page_id'].dataType.simpleString()}, rows array<array<string>>")
+    The left edges of the first band of two words or more are the columns. A word belongs to the
+    nearest one (of two, the left one) if it is within ``tolerance``; texts of one place are joined from left to right. A
+    note that stands alone in its row is no row. Pages of fewer than three words, or without two columns, have no matrix.
+    """
+    placed = bands(words, gap)
+    counted = placed.groupBy("page_id", "band").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("x0")).alias("xs"))
+    edges = counted.groupBy("page_id").agg(F.min_by("xs", F.when(F.col("n") > 1, F.col("band"))).alias("edges"), F.sum("n").alias("words")).where("edges IS NOT NULL AND words > 2")
+    near = F.array_min(F.transform("edges", lambda e, i: F.struct(F.abs(F.col("x0") - e).alias("d"), i.alias("i"))))
+    own = placed.join(edges, "page_id").withColumn("near", near).withColumn("at", F.when(F.col("near.d") <= tolerance, F.col("near.i")))
+    held = own.groupBy("page_id", "band").agg(F.array_sort(F.collect_list(F.struct("x0", "top", "text", "at"))).alias("words"), F.first("edges").alias("edges"))
+    cell = lambda i: F.array_join(F.transform(F.filter("words", lambda w: w["at"] == i), lambda w: w["text"]), "")
+    rows = held.withColumn("row", F.transform("edges", lambda _, i: cell(i)))
+    lone = F.get("row", F.lit(0)).rlike("^(注释|注：|注:)") & (F.array_join(F.slice("row", 2, 1 << 20), "") == "")
+    made = rows.where(~lone).groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "row"))), lambda x: x["row"]).alias("rows"))
+    return words.select("page_id").distinct().join(made, "page_id", "left")
 
 
 def words_row(words: DataFrame, columns: DataFrame, y_lo: float, y_hi: float) -> DataFrame:

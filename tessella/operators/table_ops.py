@@ -11,15 +11,11 @@ num, is_int, text); a result has a scalar value or an array of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..scratch import cut
-from ..shipping import ship
 
 KINDS = ["cell", "cells", "diff", "sum", "avg", "count", "subitems", "nonzero", "ratio_sum", "contains", "argmax", "argmin", "rowmax", "rowmin", "colcount", "const", "seq"]
 VALUE = "struct<kind:string,num:double,is_int:boolean,text:string>"
@@ -104,7 +100,6 @@ def execute(queries: DataFrame, tcols: DataFrame, tcells: DataFrame) -> DataFram
     Every table's cells are read once for each family of operators that occurs;
     joins are on table_id (and row or column), which all inputs can be partitioned by.
     """
-    ship(queries.sparkSession)
     n, kinds = nodes(queries)
     n = cut(n.withColumn("arg", F.to_json("arg")), "nodes").withColumn("arg", F.try_parse_json("arg"))
     first = labels(tcells)
@@ -315,57 +310,35 @@ def _nonzero(n: DataFrame, tcols: DataFrame, tcells: DataFrame, first: DataFrame
     return done.select(*_result(F.col("node"), None, F.when(error.isNull(), items), error))
 
 
-def members(rows: list[tuple[str, str | None, bool, int, bool]], section: bool, stop: int) -> list[str]:
-    """Sub-items below a target row; rows are (name, note, has_value, level, total) after it.
+def _subitems(n: DataFrame, tcells: DataFrame, first: DataFrame) -> DataFrame:
+    """subitems: zones, stops and breaks are running columns over the rows below each target.
 
-    A section lists its first-level rows; an item lists the rows of its own
-    ``其中：`` zone, or the rows without values right below it. A zone lasts while
-    note and presence of values stay as they were where it began.
+    ``其中：`` begins a zone with the note and filledness of its row; the rows after it belong to the
+    zone until the first that differs in one of them or is an addend (加：, 减：). Listing ends at the
+    first heading of the target's level or total. A section lists what is in no zone. An item lists
+    its zones and, in between, rows without values, and ends at the first row with a value outside them.
     """
-    found, zone = [], None
-    for name, note, filled, level, total in rows:
-        if not name:
-            continue
-        if level >= stop or total:
-            break
-        if name.startswith("其中："):
-            zone = (note, filled)
-            rest = name.removeprefix("其中：").strip()
-            if not section and rest:
-                found.append(rest)
-            continue
-        if zone is not None and zone == (note, filled) and name[:2] not in ("加：", "减：", "加:", "减:"):
-            if not section:
-                found.append(name)
-            continue
-        zone = None
-        if not section and filled:
-            break
-        found.append(name)
-    return found
-
-
-def _subitems(n: DataFrame, tcells: DataFrame, first: DataFrame) -> DataFrame:
-    """subitems: a scan with state, so each (node, table) is one call over its rows in order."""
     asks = n.where("op = 'subitems'").select("node", "table_id", _text_arg("item").alias("needle"))
     target = asks.join(resolve_rows(asks.select("table_id", "needle"), first), ["table_id", "needle"], "left")
-    target = target.join(first, ["table_id", "r"], "left").withColumn("level", X.boundary_level(F.col("label")))
+    target = target.join(first, ["table_id", "r"], "left").withColumn("own", F.coalesce(X.boundary_level(F.col("label")), F.lit(0)))
     full = ~X.is_empty(F.col("kind"), F.col("text"))
-    lines = tcells.groupBy("table_id", "r").agg(
+    facts = tcells.groupBy("table_id", "r").agg(
         F.max(F.when((F.col("c") == 1) & full, X.label(F.col("kind"), F.col("num"), F.col("is_int"), F.col("text")))).alias("note"), F.coalesce(F.bool_or((F.col("c") >= 1) & full), F.lit(False)).alias("filled")
     )
-    lines = lines.join(first, ["table_id", "r"]).select("table_id", F.col("r").alias("line"), F.struct(F.col("r").alias("r"), F.col("label").alias("name"), "note", "filled", X.boundary_level(F.col("label")).alias("level"), F.col("label").rlike(r"(?U)(合计|总计)\s*$").alias("total")).alias("x"))
-    below = target.join(lines, "table_id").where("line > r").groupBy("node").agg(F.array_sort(F.collect_list("x")).alias("rows"))  # the rows of one table
-    state = target.select("node", "r", "level").join(below, "node", "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for level, rows in zip(b.column("level").to_pylist(), b.column("rows").to_pylist()):
-                listed = [(x["name"], x["note"], x["filled"], x["level"], x["total"]) for x in rows or ()]
-                out.append(members(listed, (level or 0) >= 1, max(level or 0, 1)))
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("r"), pa.array(out, pa.list_(pa.string()))], ["node", "r", "found"])
-
-    done = state.mapInArrow(run, "node string, r int, found array<string>")
+    lines = facts.join(first, ["table_id", "r"]).where("label <> ''").select("table_id", F.col("r").alias("line"), F.col("label").alias("name"), F.struct(F.col("note"), F.col("filled")).alias("look"))
+    below = target.select("node", "table_id", "r", "own").join(lines, "table_id").where("line > r")
+
+    so_far = Window.partitionBy("node").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    in_zone = Window.partitionBy("node", "zone").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    ends = (X.boundary_level(F.col("name")) >= F.greatest("own", F.lit(1))) | F.col("name").rlike(r"(?U)(合计|总计)\s*$")
+    listed = below.withColumn("over", F.bool_or(ends).over(so_far)).where("NOT over").withColumn("opens", F.col("name").startswith("其中："))
+    listed = listed.withColumn("zone", F.sum(F.col("opens").cast("int")).over(so_far)).withColumn("like", F.last(F.when(F.col("opens"), F.col("look")), ignorenulls=True).over(so_far))
+    strays = ~F.col("opens") & (~F.col("look").eqNullSafe(F.col("like")) | F.col("name").rlike("^[加减][：:]"))
+    listed = listed.withColumn("outside", (F.col("zone") == 0) | F.bool_or(strays).over(in_zone))
+    listed = listed.withColumn("closed", F.bool_or(F.col("outside") & F.col("look.filled")).over(so_far))
+    said = F.when(F.col("own") > 0, F.when(F.col("outside") & ~F.col("opens"), F.col("name"))).when(~F.col("closed"), F.when(F.col("opens"), F.nullif(X.strip(F.substring("name", 4, 1 << 20)), F.lit(""))).otherwise(F.col("name")))
+    found = listed.withColumn("said", said).where("said IS NOT NULL").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("line", "said"))).alias("found"))  # rows of one table
+    done = target.select("node", "r").join(found, "node", "left")
+    items = F.coalesce(F.transform("found", lambda x: _value(text=x["said"])), F.array().cast(f"array<{VALUE}>"))
     error = F.when(F.col("r").isNull(), F.lit("item not found"))
-    return done.select(*_result(F.col("node"), None, F.when(error.isNull(), F.transform("found", lambda t: _value(text=t))), error))
+    return done.select(*_result(F.col("node"), None, F.when(error.isNull(), items), error))

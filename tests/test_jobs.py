@@ -100,10 +100,11 @@ def test_search_without_file(spark):
     assert [r["chunk_id"] for r in retrieve.search(asked, chunks, by=None).collect()] == ["c1"]
 
 
-def test_geometry():
+def test_matrix_of_words(spark):
     words = [(0, 0, "注释12"), (20, 0, "a"), (21, 50, "b"), (40, 2, "c"), (41, 49, "d"), (41, 55, "e"), (60, 200, "x")]
-    assert geometry.bands(words, 12, 90) == [["a", "b"], ["c", "de"], ["", ""]]
-    assert geometry.bands([(0, 0, "a")], 12, 90) is None
+    rows = [(1, float(top), float(x), t) for top, x, t in words] + [(2, 0.0, 0.0, "a"), (3, 0.0, 0.0, "a"), (3, 0.0, 9.0, "b"), (4, 0.0, 0.0, "a"), (4, 20.0, 0.0, "b"), (4, 40.0, 0.0, "c")]
+    got = {r["page_id"]: r["rows"] for r in geometry.rebuild(spark.createDataFrame(rows, "page_id int, top double, x0 double, text string")).collect()}
+    assert got == {1: [["a", "b"], ["c", "de"], ["", ""]], 2: None, 3: None, 4: None}
 
 
 def test_programs(spark):
