@@ -1,23 +1,26 @@
 """Substring deduplication by relative Lempel-Ziv parsing.
 
-The reference is all text of smaller document ids. Its index is split by hash
-into blocks; a block knows, for each window of ``window`` words it holds, the
-smallest document with it. Documents are grouped in buckets, and a bucket asks
-each block once for each distinct window, however often its documents repeat
-it: a passage in a third of all documents costs one question a bucket. With the
-answers each document is factored greedily: from each word that starts or
-continues a match, the factor that reaches furthest is taken. Windows across
-factor boundaries have answers of their own, so a match that straddles two
+The reference is all text of smaller document ids, indexed by the hashes of its
+windows of ``window`` words: each hash has the smallest document with that window
+and the place where it stands there. Documents are factored greedily: from each
+word that starts or continues a match, the factor that reaches furthest is
+taken, a factor being a copy of consecutive words of one document. Windows across
+factor boundaries are looked up like all others, so a match that straddles two
 factors of different sources is seen too. Words in factors are the duplicates.
 
-To ask little, a first round exchanges only winnowed fingerprints (the smallest
-hash of the grams of about half a window): a window can occur twice only if its
-fingerprint does, so the second round asks for windows with a repeated fingerprint only.
-Questions and answers travel as packed arrays; fingerprint answers take one bit.
+Look-ups are shuffled rows, combined before they are sent: documents are read in
+buckets, and a bucket sends each distinct hash once, however many of its
+documents have it. A first round sends winnowed fingerprints (the smallest hash of
+the grams of about half a window): a window can occur twice only if its
+fingerprint does, so the second round sends only windows with a repeated
+fingerprint. Both are answered by one pass over rows sorted by hash, which holds
+one row at a time, and a bucket gets back only hashes that some other row shares.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,21 +28,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
+from . import _carry
 from ._words import SPACED, Words, lists, slices
 
 WINDOW = 13
 #: Text of one bucket of documents.
 BUCKET_BYTES = 8 << 20
-#: Text whose windows make up one block of the index.
-BLOCK_BYTES = 12 << 20
+#: Text whose hashes are sorted in one task.
+SORT_BYTES = 32 << 20
 
-_ASK = "_block int, _bucket int, _hashes binary, _more binary"
-_ANSWER = "_bucket int, _round int, _block int, _mask binary, _source binary"
-_FACTORS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("source", T.LongType())]))
+_FACTORS = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("start", "length", "source", "offset")]))
 
 
 class _Bucket:
-    """Documents of one bucket, parsed slice by slice; rank orders them by id."""
+    """Documents of one bucket, hashed slice by slice; a row with a null id is neither judged nor a source."""
 
     def __init__(self, table: pa.Table, window: int):
         self.window, self.gram = window, (window + 1) // 2
@@ -47,137 +49,125 @@ class _Bucket:
         self.judged = np.asarray(ids.is_valid())
         self.ids = ids.fill_null(0).to_numpy()
         self.texts = table.column("_text").combine_chunks()
-        self.parts = list(slices(self.texts))
 
     def windows(self):
-        """For each slice: its place, words, and the place, document and fingerprint of each window of a judged document."""
-        for at, part in self.parts:
+        """For each slice: its place, words, and the place and document of each window of a judged document."""
+        for at, part in slices(self.texts):
             words = Words(part, SPACED)
-            grams = words.grams(self.gram)
-            n = max(0, len(words) - self.window + 1)
-            least = grams[:n].copy()
-            for j in range(1, self.window - self.gram + 1):
-                np.minimum(least, grams[j : j + n], out=least)
-            doc = words.doc[:n]
+            doc = words.doc[: max(0, len(words) - self.window + 1)]
             where = np.flatnonzero(words.inside(self.window) & self.judged[doc + at])
-            yield at, words, where, doc[where] + at, least[where]
+            yield at, words, where, doc[where] + at
+
+    def prints(self, words: Words) -> np.ndarray:
+        """Fingerprint of each window."""
+        grams = words.grams(self.gram)
+        n = max(0, len(words) - self.window + 1)
+        least = grams[:n].copy()
+        for j in range(1, self.window - self.gram + 1):
+            np.minimum(least, grams[j : j + n], out=least)
+        return least
 
     def fingerprints(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct fingerprints in order, and whether two documents here have it."""
+        """Distinct fingerprints, and whether two documents here have it."""
         found = []
-        for _, _, _, doc, least in self.windows():
+        for _, words, where, doc in self.windows():
+            least = self.prints(words)[where]
             new = np.ones(len(doc), bool)
             new[1:] = (doc[1:] != doc[:-1]) | (least[1:] != least[:-1])
             found.append((least[new], self.ids[doc[new]]))
-        return _ordered(found, lambda ids, first: (np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)) if len(first) else np.zeros(0, bool))
-
-    def candidates(self, shared: np.ndarray):
-        """The windows whose fingerprint is shared: per slice its place, words, windows, documents and hashes."""
-        for at, words, where, doc, least in self.windows():
-            if len(shared):
-                place = np.minimum(np.searchsorted(shared, least), len(shared) - 1)
-                keep = shared[place] == least
-            else:
-                keep = np.zeros(len(least), bool)
-            where = where[keep]
-            yield at, words, where, doc[keep], words.grams(self.window)[where]
-
-    def questions(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct hashes of candidate windows in order, and the smallest id here with each."""
-        found = [(h, self.ids[doc]) for _, _, _, doc, h in self.candidates(shared)]
-        return _ordered(found, lambda ids, first: np.minimum.reduceat(ids, first) if len(first) else ids[:0])
-
-
-def _ordered(found: list, summary) -> tuple[np.ndarray, np.ndarray]:
-    h = np.concatenate([x[0] for x in found]) if found else np.zeros(0, np.uint64)
-    ids = np.concatenate([x[1] for x in found]) if found else np.zeros(0, np.int64)
-    order = np.argsort(h, kind="stable")
-    h, ids = h[order], ids[order]
-    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-    return h[first], summary(ids, first)
-
-
-def _blocks(hashes: np.ndarray, blocks: int) -> np.ndarray:
-    """Edges of the blocks in an ordered array of hashes."""
-    of = ((hashes >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-    return np.searchsorted(of, np.arange(blocks + 1, dtype=np.uint64))
-
-
-def _narrow(ids: np.ndarray) -> bytes:
-    """Ids as bytes, of four or eight bytes each, with the width in front."""
-    small = not len(ids) or (ids.min() >= 0 and ids.max() < 1 << 32)
-    return bytes([4 if small else 8]) + ids.astype(np.uint32 if small else np.int64).tobytes()
-
-
-def _wide(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint32 if raw[0] == 4 else np.int64, offset=1).astype(np.int64)
-
-
-def _asked(bucket: int, hashes: np.ndarray, more: np.ndarray, pack, blocks: int) -> pa.Table:
-    edge = _blocks(hashes, blocks)
-    full = np.flatnonzero(np.diff(edge))
-    return pa.table(
-        {
-            "_block": pa.array(full, pa.int32()),
-            "_bucket": pa.array(np.full(len(full), bucket), pa.int32()),
-            "_hashes": pa.array([hashes[edge[b] : edge[b + 1]].tobytes() for b in full], pa.binary()),
-            "_more": pa.array([pack(more[edge[b] : edge[b + 1]]) for b in full], pa.binary()),
-        }
-    )
-
-
-def _mask(answers: pa.Table, turn: int) -> tuple[np.ndarray, list[bytes]]:
-    """Set bits of one round's answers in the order of the hashes asked, and the sources."""
-    rows = sorted((r for r in answers.select(["_round", "_block", "_mask", "_source"]).to_pylist() if r["_round"] == turn), key=lambda r: r["_block"])
-    bits = [np.unpackbits(np.frombuffer(r["_mask"], np.uint8, offset=1))[: len(r["_mask"]) * 8 - 8 - r["_mask"][0]].astype(bool) for r in rows]
-    return np.concatenate(bits) if bits else np.zeros(0, bool), [r["_source"] for r in rows]
-
-
-def _bits(mask: np.ndarray) -> bytes:
-    return bytes([-len(mask) % 8]) + np.packbits(mask).tobytes()
-
-
-def _answer(table: pa.Table, turn: int, decide) -> pa.Table:
-    """Answers of one block of the index to each bucket that asked."""
-    hashes = [np.frombuffer(x, np.uint64) for x in table.column("_hashes").to_pylist()]
-    masks, sources = decide(np.concatenate(hashes), table.column("_more").to_pylist(), np.cumsum([0, *map(len, hashes)]))
-    n = table.num_rows
-    return pa.table({"_bucket": table.column("_bucket"), "_round": pa.array([turn] * n, pa.int32()), "_block": table.column("_block"), "_mask": pa.array(masks, pa.binary()), "_source": pa.array(sources, pa.binary())})
-
-
-def _repeated(h: np.ndarray, more: list[bytes], edge: np.ndarray):
-    """Which fingerprints two documents have."""
-    here = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8, offset=1))[: len(m) * 8 - 8 - m[0]] for m in more]).astype(bool)
-    order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
-    again = np.append(same, False) | np.append(False, same)
-    mask = here.copy()
-    mask[order] |= again
-    return [_bits(mask[a:b]) for a, b in zip(edge, edge[1:])], [None] * len(more)
-
-
-def _sources(h: np.ndarray, more: list[bytes], edge: np.ndarray):
-    """Which windows a smaller document of another bucket has, and the smallest one."""
-    ids = np.concatenate([_wide(m) for m in more])
-    order = np.argsort(h, kind="stable")
-    first = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
-    least = np.minimum.reduceat(ids[order], first)
-    best = np.empty_like(ids)
-    best[order] = np.repeat(least, np.diff(np.append(first, len(h))))
-    mask = best < ids
-    return [_bits(mask[a:b]) for a, b in zip(edge, edge[1:])], [_narrow(best[a:b][mask[a:b]]) for a, b in zip(edge, edge[1:])]
-
-
-def _parse(at: np.ndarray, source: np.ndarray, doc: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
-    """Greedy factors (document, start, length, source) from matched windows in order."""
+        h, ids = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        order = np.argsort(h, kind="stable")
+        h, ids = h[order], ids[order]
+        first = _firsts(h)
+        return h[first], (np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)) if len(first) else np.zeros(0, bool)
+
+    def questions(self, shared: np.ndarray) -> list[np.ndarray]:
+        """Distinct hashes of windows whose fingerprint is shared: hash, smallest id, place there, largest id."""
+        found = []
+        for _, words, where, doc in self.windows():
+            at = where[_among(shared, self.prints(words)[where])]
+            doc = doc[np.searchsorted(where, at)]
+            found.append((words.grams(self.window)[at], self.ids[doc], at - words.first[words.doc[at]]))
+        h, ids, place = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
+        order = np.lexsort((place, ids, h))
+        h, ids, place = h[order], ids[order], place[order]
+        first = _firsts(h)
+        last = np.append(first[1:], len(h))[: len(first)] - 1
+        return [h[first], ids[first], place[first], ids[last]]
+
+
+def _firsts(h: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+
+
+def _among(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which values stand in an ordered array."""
+    if not len(known):
+        return np.zeros(len(h), bool)
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
+def _signed(h: np.ndarray) -> pa.Array:
+    return pa.array(h.view(np.int64), pa.int64())
+
+
+def _unsigned(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy().astype(np.int64).view(np.uint64)
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (h, tag) in order of h, the buckets and hashes of those that are not alone; tag is twice the bucket, plus 1 where it has two."""
+    last = None  # hash and tag of the row before, and whether it is sent
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, tag = batch.column("h").to_numpy(), batch.column("tag").to_numpy()
+        same = h[1:] == h[:-1]
+        send = (tag & 1 == 1) | np.append(False, same) | np.append(same, False)
+        if last and last[0] == h[0]:
+            send[0] = True
+            if not last[2]:
+                yield _told(np.append(last[0], h[:0]), np.append(last[1], tag[:0]))
+        if send.any():
+            yield _told(h[send], tag[send])
+        last = (h[-1], tag[-1], bool(send[-1]))
+
+
+def _told(h: np.ndarray, tag: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array((tag >> 1).astype(np.int32)), pa.array(h)], ["_bucket", "h"])
+
+
+def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (h, id, place, most, bucket) in order of h, id and place: what a bucket does not know, the first row of its hash, if smaller than ``most``."""
+    held = None  # hash, id and place of the first row of the current run
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, ids, place, most = (batch.column(c).to_numpy() for c in ("h", "id", "place", "most"))
+        first = _firsts(h)
+        source, spot = ids[first].copy(), place[first].copy()
+        if held and held[0] == h[0]:
+            source[0], spot[0] = held[1:]
+        held = (h[-1], source[-1], spot[-1])
+        size = np.diff(np.append(first, len(h)))
+        source, spot = np.repeat(source, size), np.repeat(spot, size)
+        send = source < most
+        if send.any():
+            columns = [batch.column("bucket").filter(pa.array(send)), pa.array(h[send]), pa.array(source[send]), pa.array(spot[send])]
+            yield pa.RecordBatch.from_arrays(columns, ["_bucket", "h", "source", "spot"])
+
+
+def _parse(at: np.ndarray, source: np.ndarray, spot: np.ndarray, doc: np.ndarray, window: int) -> list[tuple[int, int, int, int, int]]:
+    """Greedy factors (document, start, length, source, offset there) from matched windows in order."""
     if not len(at):
         return []
     new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (source[1:] != source[:-1]) | (doc[1:] != doc[:-1])
+    new[1:] = (at[1:] != at[:-1] + 1) | (source[1:] != source[:-1]) | (spot[1:] != spot[:-1] + 1) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
     starts, stops = at[first].tolist(), (at[last] + window).tolist()
-    whose, owner = source[first].tolist(), doc[first].tolist()
+    whose, there, owner = source[first].tolist(), spot[first].tolist(), doc[first].tolist()
     out, i, n = [], 0, len(starts)
     reach = 0
     while i < n:
@@ -188,7 +178,7 @@ def _parse(at: np.ndarray, source: np.ndarray, doc: np.ndarray, window: int) ->
             if stops[i] > stops[best]:
                 best = i
         if stops[best] > begin:
-            out.append((owner[best], begin, stops[best] - begin, whose[best]))
+            out.append((owner[best], begin, stops[best] - begin, whose[best], there[best] + begin - starts[best]))
         reach = max(reach, stops[best])
         i += 1
     return out
@@ -229,87 +219,74 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     One row for each row of ``docs``: the columns ``carry`` (all but the text by
     default), then ``n_words``, ``n_removed``, ``kept_text`` and ``factors`` (start
-    and length in words, and the smallest document with the matched words).
+    and length in words, the document copied from, and the word where the copy starts there).
     ``layout`` "text" keeps the white space between kept words, "words" puts one
-    space. A clash of a carried column with these names raises ValueError.
+    space. A carried column with one of these names raises ValueError; any other name is free.
 
     Words are split at ASCII white space and compared unchanged. Windows are
     judged on the input, not on what is left. A null text has no words and an
     empty ``kept_text``. Rows with the same id are one another's equals: neither removes words of
-    the other. A row with a null id is neither judged nor a source. Ids must be
+    the other; the offset in such a source is that of one of its rows. A row with a null id is neither judged nor a source. Ids must be
     integers. Texts are read whole, whatever their length; no rows give no rows.
     """
     if window < 2 or layout not in ("text", "words"):
         raise ValueError("window must be 2 at least and layout 'text' or 'words'")
     spark = docs.sparkSession
     ship(spark)
-    carry = [c for c in docs.columns if c != text_col] if carry is None else list(carry)
     added = ["n_words", "n_removed", "kept_text", "factors"]
-    if clash := set(carry) & set(added):
-        raise ValueError(f"columns {sorted(clash)} of the documents clash with results")
-    total = int(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
+    carry = _carry.chosen(docs, carry, added, (text_col,))
+    text = _carry.column(text_col)
+    total = int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
     cores = spark.sparkContext.defaultParallelism
     buckets = max(2 * cores, -(-total // BUCKET_BYTES))
-    blocks = max(2 * cores, -(-total // BLOCK_BYTES))
-    own = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]
-    key = F.pmod(F.coalesce(F.xxhash64(id_col), F.lit(0)), F.lit(buckets)).cast("int")
-    rows = docs.select(key.alias("_bucket"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *own)
+    sorts = max(2 * cores, -(-total // SORT_BYTES))
+    # The text is part of the key, so rows that share an id, or have none, don't share a bucket.
+    key = F.pmod(F.xxhash64(_carry.column(id_col), text), F.lit(buckets)).cast("int")
+    rows = docs.select(key.alias("_bucket"), _carry.column(id_col).cast("long").alias("_id"), text.alias("_text"), _carry.own(carry))
 
     def ask_fingerprints(k, table):
-        hashes, both = _Bucket(table, window).fingerprints()
-        return _asked(k[0].as_py(), hashes, both, _bits, blocks)
+        h, both = _Bucket(table, window).fingerprints()
+        return pa.table({"h": _signed(h), "tag": pa.array(2 * k[0].as_py() + both.astype(np.int64), pa.int64())})
 
     def ask_windows(k, table, answers):
-        if not table.num_rows:
-            return _asked(0, np.zeros(0, np.uint64), np.zeros(0, np.int64), _narrow, blocks)
-        bucket = _Bucket(table, window)
-        hashes, _ = bucket.fingerprints()
-        return _asked(k[0].as_py(), *bucket.questions(hashes[_mask(answers, 1)[0]]), _narrow, blocks)
+        h, ids, place, most = _Bucket(table, window).questions(np.sort(_unsigned(answers.column("h"))))
+        return pa.table({"h": _signed(h), "id": ids, "place": place, "most": most, "bucket": pa.array(np.full(len(h), k[0].as_py()), pa.int32())})
 
     def finish(k, table, answers):
         bucket = _Bucket(table, window)
-        shared = bucket.fingerprints()[0][_mask(answers, 1)[0]]
-        hashes, source = bucket.questions(shared)
-        mask, found = _mask(answers, 2)
-        if mask.any():
-            source[mask] = np.concatenate([_wide(x) for x in found])
+        known = _unsigned(answers.column("h"))
+        order = np.argsort(known)
+        known, source, spot = known[order], answers.column("source").to_numpy()[order], answers.column("spot").to_numpy()[order]
         out = []
-        for at, words, where, doc, h in bucket.candidates(shared):
+        for at, words, where, doc in bucket.windows():
             n = len(words.count)
-            from_doc = source[np.searchsorted(hashes, h)] if len(h) else source[:0]
-            hit = from_doc < bucket.ids[doc]
-            factors = _parse(where[hit], from_doc[hit], doc[hit] - at, window)
-            f = np.array(factors, np.int64).reshape(-1, 4)
+            h = words.grams(window)[where] if len(known) else np.zeros(0, np.uint64)
+            hit = np.flatnonzero(_among(known, h))
+            which = np.searchsorted(known, h[hit])
+            smaller = source[which] < bucket.ids[doc[hit]]
+            hit, which = hit[smaller], which[smaller]
+            factors = _parse(where[hit], source[which], spot[which], doc[hit] - at, window)
+            f = np.array(factors, np.int64).reshape(-1, 5)
             step = np.zeros(len(words) + 1, np.int64)
             np.add.at(step, f[:, 1], 1)
             np.add.at(step, f[:, 1] + f[:, 2], -1)
             gone = np.cumsum(step[:-1]) > 0
-            struct = pa.StructArray.from_arrays([pa.array(f[:, 1] - words.first[f[:, 0]]), pa.array(f[:, 2]), pa.array(f[:, 3])], ["start", "length", "source"])
-            part = table.slice(at, n)
-            out.append(
-                pa.table(
-                    [
-                        *(part.column(f"_{i}").combine_chunks() for i in range(len(carry))),
-                        pa.array(words.count, pa.int64()),
-                        pa.array(np.bincount(words.doc[gone], minlength=n), pa.int64()),
-                        _cut(words, gone, layout).cast(pa.string()),
-                        lists(np.bincount(f[:, 0], minlength=n), struct),
-                    ],
-                    names=[*carry, *added],
-                )
-            )
+            struct = pa.StructArray.from_arrays([pa.array(f[:, 1] - words.first[f[:, 0]]), *(pa.array(f[:, i]) for i in (2, 3, 4))], ["start", "length", "source", "offset"])
+            removed = pa.array(np.bincount(words.doc[gone], minlength=n), pa.int64())
+            columns = [table.column(_carry.OWN).slice(at, n).combine_chunks(), pa.array(words.count, pa.int64()), removed, _cut(words, gone, layout).cast(pa.string()), lists(np.bincount(f[:, 0], minlength=n), struct)]
+            out.append(pa.table(columns, names=[_carry.OWN, *added]))
         return pa.concat_tables(out)
 
     grouped = rows.groupBy("_bucket")
-    prints = grouped.applyInArrow(ask_fingerprints, _ASK)
-    first = prints.groupBy("_block").applyInArrow(lambda t: _answer(t, 1, _repeated), _ANSWER)
-    asked = grouped.cogroup(first.groupBy("_bucket")).applyInArrow(ask_windows, _ASK)
-    second = asked.groupBy("_block").applyInArrow(lambda t: _answer(t, 2, _sources), _ANSWER)
+    prints = grouped.applyInArrow(ask_fingerprints, "h long, tag long").repartition(sorts, "h").sortWithinPartitions("h")
+    shared = prints.mapInArrow(_repeated, "_bucket int, h long")
+    asked = grouped.cogroup(shared.groupBy("_bucket")).applyInArrow(ask_windows, "h long, id long, place long, most long, bucket int")
+    asked = asked.repartition(sorts, "h").sortWithinPartitions("h", "id", "place")
+    answers = asked.mapInArrow(_sources, "_bucket int, h long, source long, spot long")
     schema = T.StructType(
-        [docs.schema[c] for c in carry]
-        + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("factors", _FACTORS)]
+        [_carry.field(docs, carry)] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("factors", _FACTORS)]
     )
-    return grouped.cogroup(first.union(second).groupBy("_bucket")).applyInArrow(finish, schema)
+    return _carry.unpacked(grouped.cogroup(answers.groupBy("_bucket")).applyInArrow(finish, schema), carry, added)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

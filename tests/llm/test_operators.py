@@ -289,12 +289,18 @@ def brute_cut(rows, window):
 @pytest.mark.parametrize("seed, window", [(1, 5), (2, 2), (3, 13)])
 def test_substrings(spark, monkeypatch, seed, window):
     monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 300)
-    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(substring_dedup, "SORT_BYTES", 500)
     rows = [(i * 37 % 101, t) for i, t in enumerate(texts_of(seed, n=90, length=60))] + [(None, "v1 v2 v3 v4 v5 v6"), (200, None), (3, texts_of(seed)[5])]
     found = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), window=window, layout="words").collect()
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in found), key=str) == brute_cut(rows, window)
     for r in found:
         assert sum(f["length"] for f in r["factors"]) == r["n_removed"] and all(f["source"] < r["doc_id"] for f in r["factors"])
+    # Every factor is a copy of the words at its offset in its source (the id that two rows share is left out).
+    words = {i: (t or "").split() for i, t in rows}
+    for r in found:
+        for f in r["factors"]:
+            if 3 not in (r["doc_id"], f["source"]):
+                assert words[r["doc_id"]][f["start"] : f["start"] + f["length"]] == words[f["source"]][f["offset"] : f["offset"] + f["length"]]
 
 
 def test_substrings_keep_white_space_and_odd_rows(spark, odd, none):
