@@ -3,9 +3,14 @@
 Every span of ``window`` words has ``window - gram + 1`` grams of ``gram``
 words; its fingerprint is the smallest gram hash among them. A span that a
 document shares with a benchmark item has the same grams in both, so the
-fingerprints meet: the join on fingerprints loses no shared span. Each meeting
-is then extended to the whole window and confirmed on the full window hash.
-Items shorter than a window are looked up whole, by their own length.
+fingerprints meet: looking for fingerprints loses no shared span. Each meeting
+is extended to the whole window, and the join of whole windows with those of the
+benchmark confirms it. Items shorter than a window are looked up whole, by their own length.
+
+The corpus is read once, whatever the size of the benchmark. Tasks hold a table of flags
+of fixed size, one bit for each value of a fingerprint's leading bits; what
+passes it is joined as rows. More benchmark text makes the flags less
+selective, never the result less complete.
 """
 
 from __future__ import annotations
@@ -14,91 +19,108 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
 from ..scratch import cut
-from ._words import ALNUM, Words, lists, runs, slices
+from . import _carry
+from ._words import ALNUM, Words, lists, slices
 
-#: Benchmark text held by one broadcast index; a larger benchmark takes a further pass for each such block.
-BLOCK_BYTES = 32 << 20
+#: Benchmark text whose windows are broadcast for the join; those of a larger benchmark are shuffled.
+BLOCK_BYTES = 8 << 20
+#: Leading bits of a fingerprint that the flags tell apart: at least and at most, and flags for each fingerprint in between.
+FLAG_BITS, SPARSE = (16, 24), 1024
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
 
 
-class _Postings:
-    """Distinct window hashes of one length, sorted, with the items of each."""
-
-    def __init__(self, hashes: np.ndarray, items: np.ndarray):
-        pairs = np.unique(np.rec.fromarrays([hashes, items], names="h,i"))
-        self.hashes, at = np.unique(pairs.h, return_index=True)
-        self.at = np.append(at, len(pairs))
-        self.items = pairs.i.astype(np.int64)
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Place of each hash in the index, or -1."""
-        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[place] == hashes, place, -1)
-
-
-class _Index:
-    def __init__(self, texts: list[str | None], window: int, gram: int):
-        self.window, self.gram = window, gram
-        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        prints = []
-        for at, part in slices(pa.array(texts, pa.large_string())):
-            words = Words(part, ALNUM, lower=True)
-            ok = words.inside(window)
-            if ok.any():
-                found.setdefault(window, []).append((words.grams(window)[ok], words.doc[: len(ok)][ok] + at))
-                prints.append(self.fingerprints(words)[ok])
-            for k in range(1, window):
-                if (words.count == k).any():
-                    found.setdefault(k, []).append((words.whole(k), np.flatnonzero(words.count == k) + at))
-        self.by_length = {k: _Postings(*map(np.concatenate, zip(*v))) for k, v in found.items()}
-        self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64)
-        #: One flag for each leading 22 bits of a fingerprint: most look-ups end here.
-        self.flags = np.zeros(1 << 22, bool)
-        self.flags[self.prints >> np.uint64(42)] = True
-
-    def fingerprints(self, words: Words) -> np.ndarray:
-        """Smallest gram hash of each window."""
-        grams = words.grams(self.gram)
-        n = max(0, len(words) - self.window + 1)
-        least = grams[:n].copy()
-        for j in range(1, self.window - self.gram + 1):
-            np.minimum(least, grams[j : j + n], out=least)
-        return least
-
-    def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Start and length of each occurring window, and pairs (occurrence, item)."""
-        starts, lengths, which, items = [], [], [], []
-        base = 0
-        for k, postings in self.by_length.items():
-            if len(words) < k:
-                continue
-            ok = words.inside(k)
-            if k == self.window:
-                prints = self.fingerprints(words)
-                near = np.flatnonzero(ok & self.flags[prints >> np.uint64(42)])
-                place = np.minimum(np.searchsorted(self.prints, prints[near]), len(self.prints) - 1)
-                near = near[self.prints[place] == prints[near]]
-            else:
-                near = np.flatnonzero(ok)
-            full = np.full(len(near), np.uint64(k), np.uint64)
-            full = words.grams(k)[near] if len(near) else full
-            place = postings.find(full)
-            near, place = near[place >= 0], place[place >= 0]
-            n = postings.at[place + 1] - postings.at[place]
-            starts.append(near)
-            lengths.append(np.full(len(near), k))
-            which.append(np.repeat(np.arange(len(near)), n) + base)
-            items.append(postings.items[np.repeat(postings.at[place], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
-            base += len(near)
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return cat(starts), cat(lengths), cat(which), cat(items)
+def _prints(words: Words, window: int, gram: int) -> np.ndarray:
+    """Smallest gram hash of each window."""
+    grams = words.grams(gram)
+    n = max(0, len(words) - window + 1)
+    least = grams[:n].copy()
+    for j in range(1, window - gram + 1):
+        np.minimum(least, grams[j : j + n], out=least)
+    return least
+
+
+def _item_windows(window: int, gram: int):
+    """Windows of items: length, hash of all words, fingerprint and item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, part in slices(batch.column("text")):
+                words = Words(part, ALNUM, lower=True)
+                ok = words.inside(window)
+                found = [(np.full(ok.sum(), window), words.grams(window)[ok], _prints(words, window, gram)[ok], words.doc[: len(ok)][ok])]
+                for k in range(1, window):
+                    whole = words.whole(k)
+                    found.append((np.full(len(whole), k), whole, whole, np.flatnonzero(words.count == k)))
+                k, h, p, doc = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(h.view(np.int64)), pa.array(p.view(np.int64)), batch.column("item").take(pa.array(doc + at))], ["k", "h", "print", "item"])
+
+    return run
+
+
+def _flags(windows: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of leading bits, and one bit for each of their values that some fingerprint has: two megabytes at most."""
+    n = windows.count()
+    bits = min(max(int(np.ceil(np.log2(SPARSE * n + 1))), FLAG_BITS[0]), FLAG_BITS[1])
+    slot = windows.select(F.shiftrightunsigned("print", 64 - bits).alias("slot")).selectExpr("shiftright(slot, 6) AS word", "shiftleft(1L, CAST(slot & 63 AS INT)) AS bit")
+    held = np.zeros(1 << (bits - 6), np.int64)
+    for word, value in slot.groupBy("word").agg(F.bit_or("bit")).collect():  # as many rows as the flags have words
+        held[word] = value
+    return bits, held.view(np.uint8)
+
+
+def _candidates(window: int, gram: int, lengths: list[int], shared):
+    """For each document its number of words, and windows whose fingerprint is flagged; a row's number is fixed when it is written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, flags = shared.value
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for at, part in slices(batch.column("_text")):
+                n = len(part)
+                words = Words(part, ALNUM, lower=True)
+                found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+                for k in lengths:
+                    if len(words) < k:
+                        continue
+                    full = None if k == window else words.grams(k)
+                    look = _prints(words, window, gram) if k == window else full
+                    slot = (look >> np.uint64(64 - bits)).astype(np.int64)
+                    near = np.flatnonzero(words.inside(k) & ((flags[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
+                    if len(near):
+                        full = words.grams(k) if full is None else full
+                        found.append((near, np.full(len(near), k), full[near]))
+                near, k, h = (np.concatenate(x) for x in zip(*found))
+                order = np.argsort(near, kind="stable")
+                near, k, h = near[order], k[order], h[order]
+                doc = words.doc[near]
+                struct = pa.StructArray.from_arrays([pa.array(near - words.first[doc], pa.int64()), pa.array(k, pa.int32()), pa.array(h.view(np.int64))], ["start", "k", "h"])
+                rows = pa.array(number + np.arange(n), pa.int64())
+                number += n
+                yield pa.RecordBatch.from_arrays([batch.column(_carry.OWN).slice(at, n), rows, pa.array(words.count, pa.int64()), lists(np.bincount(doc, minlength=n), struct)], [_carry.OWN, "row", "n_words", "near"])
+
+    return run
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Maximal runs of hit words, from the windows of each document."""
+    for batch in batches:
+        n = batch.num_rows
+        held = batch.column("windows")
+        doc = np.repeat(np.arange(n), np.diff(held.offsets.to_numpy()))
+        flat = held.flatten()
+        start, k = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+        doc, start, stop = _merge(doc, start, start + k)
+        spans = lists(np.bincount(doc, minlength=n), pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(stop - start, pa.int64())], ["start", "length"]))
+        n_hit = np.bincount(doc, stop - start, n).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n_hit, pa.int64()), spans], ["row", "n_hit", "hit_spans"])
 
 
 def _merge(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,8 +153,8 @@ def decontaminate(
     One row for each row of ``docs``: the columns ``carry`` (all columns of
     ``docs`` by default), then ``n_words``, ``n_hit`` (words inside any
     occurrence), ``item_ids`` (distinct items with an occurrence, ascending)
-    and ``hit_spans`` (maximal runs of hit words). Names that clash with a
-    carried column raise ValueError.
+    and ``hit_spans`` (maximal runs of hit words). A carried column with one of
+    these names raises ValueError; any other name is free.
 
     Words are runs of ``[0-9a-z]`` and non-ASCII characters after A-Z are
     lower-cased. A null or empty text has no words and no hits; an item
@@ -140,80 +162,37 @@ def decontaminate(
     listed nowhere; items that repeat an id are one item. With an empty benchmark
     every document is clean. Texts of any length are read whole.
 
-    The index of at most ``block_bytes`` of benchmark text is broadcast; a
-    larger benchmark is cut into blocks by hash, and each block is one more
-    pass that adds its spans to those found so far.
+    The windows of a benchmark of at most ``block_bytes`` of text are broadcast to the
+    join with flagged windows; those of a larger one are shuffled. Documents without a flagged window are not joined.
     """
     if not 0 < gram <= window:
         raise ValueError("gram must be between 1 and window")
     spark = docs.sparkSession
     ship(spark)
-    carry = list(docs.columns if carry is None else carry)
     added = ["n_words", "n_hit", "item_ids", "hit_spans"]
-    if clash := set(carry) & set(added):
-        raise ValueError(f"columns {sorted(clash)} of the documents clash with results")
-    item_type = benchmark.schema[item_col].dataType
-    state = T.StructType(
-        [docs.schema[c] for c in carry]
-        + [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(item_type)), T.StructField("hit_spans", _SPAN)]
-    )
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
+    carry = _carry.chosen(docs, carry, added)
+    item = benchmark.schema[item_col]
+    items = benchmark.select(_carry.column(item_col).alias("item"), _carry.column(item_text_col).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // block_bytes))
-    rows = docs.select(*carry, F.col(text_col).alias("_text"), F.lit(None).cast(T.ArrayType(item_type)).alias("_items"), F.lit(None).cast(_SPAN).alias("_spans"))
-    for block in range(blocks):
-        held = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
-        ids = [x.item for x in held]
-        known = sorted({x for x in ids if x is not None})
-        shared = spark.sparkContext.broadcast((_Index([x.text for x in held], window, gram), np.array(_ranks(ids, known), np.int64), known))
-        last = block == blocks - 1
-        out = rows.mapInArrow(_pass(shared, carry, last), state if last else rows.schema)
-        rows = out if last else cut(out, "decontaminate")
-    return rows
-
-
-def _ranks(ids: list, known: list) -> list[int]:
-    place = {x: i for i, x in enumerate(known)}
-    return [place.get(x, -1) for x in ids]
-
-
-def _pass(shared, carry: list[str], last: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, item_rank, known = shared.value
-        for batch in batches:
-            kept = [batch.column(c) for c in carry]
-            for at, texts in slices(batch.column("_text")):
-                n = len(texts)
-                words = Words(texts, ALNUM, lower=True)
-                start, length, which, item = index.hits(words)
-                item = item_rank[item]
-                doc = words.doc[start]
-                pairs = np.unique(np.stack([doc[which], item], 1)[item >= 0], axis=0) if len(item) else np.zeros((0, 2), np.int64)
-                span_doc, span_from, span_to = _merge(doc, start - words.first[doc], start - words.first[doc] + length)
-                before_items, before_spans = batch.column("_items").slice(at, n), batch.column("_spans").slice(at, n)
-                found = [known[i] for i in pairs[:, 1]]
-                item_counts = np.bincount(pairs[:, 0], minlength=n)
-                if before_spans.null_count < n:
-                    rows = before_spans.to_pylist()
-                    extra = [(i, s["start"], s["start"] + s["length"]) for i, r in enumerate(rows) for s in r or ()]
-                    more = np.array(extra, np.int64).reshape(-1, 3)
-                    span_doc, span_from, span_to = _merge(*(np.concatenate([a, b]) for a, b in zip((span_doc, span_from, span_to), more.T)))
-                    split = np.split(np.array(found, object), np.cumsum(item_counts)[:-1])
-                    merged = [sorted({*(a or ()), *b}) for a, b in zip(before_items.to_pylist(), split)]
-                    found, item_counts = [x for r in merged for x in r], np.array([len(r) for r in merged])
-                item_type = before_items.type.value_type
-                items = lists(item_counts, pa.array(found, item_type))
-                spans = lists(np.bincount(span_doc, minlength=n), pa.StructArray.from_arrays([pa.array(span_from, pa.int64()), pa.array(span_to - span_from, pa.int64())], ["start", "length"]))
-                own = [x.slice(at, n) for x in kept]
-                if last:
-                    base = words.first[span_doc]
-                    hit = runs(len(words), base + span_from, base + span_to)
-                    n_hit = np.bincount(words.doc[hit], minlength=n)
-                    yield pa.RecordBatch.from_arrays([*own, pa.array(words.count, pa.int64()), pa.array(n_hit, pa.int64()), items, spans], [*carry, "n_words", "n_hit", "item_ids", "hit_spans"])
-                else:
-                    yield pa.RecordBatch.from_arrays([*own, batch.column("_text").slice(at, n), items, spans], [*carry, "_text", "_items", "_spans"])
-
-    return run
+    shape = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("print", T.LongType()), T.StructField("item", item.dataType)])
+    windows = cut(items.mapInArrow(_item_windows(window, gram), shape).distinct(), "decontaminate-windows")
+    lengths = sorted(r[0] for r in windows.select("k").distinct().collect())  # at most ``window`` numbers
+    shared = spark.sparkContext.broadcast(_flags(windows))
+    rows = docs.select(_carry.own(carry), _carry.column(text_col).alias("_text"))
+    near = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("k", T.IntegerType()), T.StructField("h", T.LongType())]))
+    state = T.StructType([_carry.field(docs, carry), T.StructField("row", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("near", near)])
+    read = cut(rows.mapInArrow(_candidates(window, gram, lengths, shared), state), "decontaminate-docs")
+
+    known = windows.groupBy("k", "h").agg(F.collect_set("item").alias("items"))
+    known = F.broadcast(known) if total <= block_bytes else known
+    hits = read.where(F.size("near") > 0).select("row", F.inline("near")).join(known, ["k", "h"])
+    spans = hits.groupBy("row").agg(F.collect_list(F.struct("start", F.col("k").cast("long").alias("k"))).alias("windows"))  # those of one document
+    spans = spans.mapInArrow(_spans, T.StructType([T.StructField("row", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_spans", _SPAN)]))
+    listed = hits.select("row", F.explode("items").alias("item")).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+    clean = [F.lit(0).cast("long").alias("n_hit"), F.array().cast(T.ArrayType(item.dataType)).alias("item_ids"), F.array().cast(_SPAN).alias("hit_spans")]
+    some = read.where(F.size("near") > 0).drop("near").join(spans, "row", "left").join(listed, "row", "left")
+    some = some.select(_carry.OWN, "n_words", *(F.coalesce(c, empty).alias(c) for c, empty in zip(added[1:], clean)))
+    return _carry.unpacked(read.where(F.size("near") == 0).select(_carry.OWN, "n_words", *clean).union(some), carry, added)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
