@@ -256,17 +256,41 @@ def test_votes_are_signs():
     assert (np.unpackbits(simhash.fingerprints(pa.array([text]))[0]) == (2 * bits.sum(0) > len(h))).all()
 
 
-def test_search_within_radius_is_complete(spark):
+@pytest.mark.parametrize("radius, blocks", [(5, None), (3, 4), (20, 21)])
+def test_search_within_radius_is_complete(spark, radius, blocks):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 256, (12, 16), dtype=np.uint8)
     made = [b ^ np.packbits(np.isin(np.arange(128), rng.choice(128, k, replace=False))) for b in base for k in range(7)]
     rows = [(i, p.tobytes()) for i, p in enumerate([*made, made[0]])] + [(999, None)]
-    pairs, members = simhash.near_fingerprints(spark.createDataFrame(rows, "doc_id long, fingerprint binary"), id_col="doc_id", radius=5)
-    got = {(bytes(r[0]), bytes(r[1]), r[2]) for r in pairs.collect()}
+    frame = spark.createDataFrame(rows, "doc_id long, fingerprint binary")
+    pairs, members = simhash.near_fingerprints(frame, id_col="doc_id", radius=radius, blocks=blocks)
+    got = [(bytes(r[0]), bytes(r[1]), r[2]) for r in pairs.collect()]
     distinct = sorted({p.tobytes() for p in made})
     apart = lambda a, b: int(np.bitwise_count(np.frombuffer(a, np.uint8) ^ np.frombuffer(b, np.uint8)).sum())
-    assert got == {(a, b, apart(a, b)) for a in distinct for b in distinct if a < b and apart(a, b) <= 5}
+    assert sorted(got) == [(a, b, apart(a, b)) for a in distinct for b in distinct if a < b and apart(a, b) <= radius]
     assert members.count() == len(rows) - 1
+    counts = {bytes(r["print"]): (r["rows"], r["classes"]) for r in simhash.count_near(frame.where("doc_id % 3 = 0"), frame, radius=radius, blocks=blocks).collect()}
+    held = [p for _, p in rows if p]
+    assert counts == {p: (sum(apart(p, x) <= radius for x in held), sum(apart(p, x) <= radius for x in distinct)) for i, p in rows if i % 3 == 0 and p}
+    assert simhash.near_fingerprints(frame.limit(0), id_col="doc_id")[0].count() == simhash.count_near(frame, frame.limit(0)).count() == 0
+
+
+def test_fingerprint_query_counts_all_documents_within_the_radius(spark, small):
+    got = simhash.op5(spark, small).collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    ids = sorted(texts)
+    prints = dict(zip(ids, simhash.fingerprints(pa.array([texts[i] for i in ids], pa.large_string()))))
+    assert sorted(r["doc_id"] for r in got) == ids
+    for r in got:
+        after = texts[ids[(ids.index(r["doc_id"]) + 1) % len(ids)]]
+        own, n = texts[r["doc_id"]], len(texts[r["doc_id"]])
+        edited = own[: n - n // 4] + after[: n // 4]
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and r["fingerprint"] == prints[r["doc_id"]].tobytes().hex()
+        a, b = simhash.fingerprints(pa.array([own, edited], pa.large_string()))
+        assert r["near_edited"] == pytest.approx(max(0, np.cos(np.pi * np.bitwise_count(a ^ b).sum() / 128)))
+        near = [x for x in prints.values() if np.bitwise_count(x ^ prints[r["doc_id"]]).sum() <= 3]
+        want = (len(near) - 1, len({x.tobytes() for x in near})) if r["doc_id"] % 100 == 0 else (None, None)
+        assert (r["n_within"], r["n_classes"]) == want
 
 
 # --- substring deduplication -----------------------------------------------------------------
