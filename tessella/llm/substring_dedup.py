@@ -82,7 +82,7 @@ class _Bucket:
         return h[first], (np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)) if len(first) else np.zeros(0, bool)
 
     def questions(self, shared: np.ndarray) -> list[np.ndarray]:
-        """Distinct hashes of windows whose fingerprint is shared: hash, smallest id, place there, largest id."""
+        """Distinct hashes of windows whose fingerprint is shared, in order of id and place: hash, smallest id, place there, largest id."""
         found = []
         for _, words, where, doc in self.windows():
             at = where[_among(shared, self.prints(words)[where])]
@@ -93,7 +93,9 @@ class _Bucket:
         h, ids, place = h[order], ids[order], place[order]
         first = _firsts(h)
         last = np.append(first[1:], len(h))[: len(first)] - 1
-        return [h[first], ids[first], place[first], ids[last]]
+        h, ids, place, most = h[first], ids[first], place[first], ids[last]
+        order = np.lexsort((place, ids))  # rows of one document follow one another, so what they share is compressed
+        return [x[order] for x in (h, ids, place, most)]
 
 
 def _firsts(h: np.ndarray) -> np.ndarray:
@@ -250,7 +252,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def ask_windows(k, table, answers):
         h, ids, place, most = _Bucket(table, window).questions(np.sort(_unsigned(answers.column("h"))))
-        return pa.table({"h": _signed(h), "id": ids, "place": place, "most": most, "bucket": pa.array(np.full(len(h), k[0].as_py()), pa.int32())})
+        return pa.table({"h": _signed(h), "place": place, "id": ids, "most": most, "bucket": pa.array(np.full(len(h), k[0].as_py()), pa.int32())})
 
     def finish(k, table, answers):
         bucket = _Bucket(table, window)
@@ -277,10 +279,11 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             out.append(pa.table(columns, names=[_carry.OWN, *added]))
         return pa.concat_tables(out)
 
-    grouped = rows.groupBy("_bucket")
+    # One exchange of the texts serves all three readings; its tasks are as many as the text asks for.
+    grouped = rows.repartition(max(sorts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "_bucket").groupBy("_bucket")
     prints = grouped.applyInArrow(ask_fingerprints, "h long, tag long").repartition(sorts, "h").sortWithinPartitions("h")
     shared = prints.mapInArrow(_repeated, "_bucket int, h long")
-    asked = grouped.cogroup(shared.groupBy("_bucket")).applyInArrow(ask_windows, "h long, id long, place long, most long, bucket int")
+    asked = grouped.cogroup(shared.groupBy("_bucket")).applyInArrow(ask_windows, "h long, place long, id long, most long, bucket int")
     asked = asked.repartition(sorts, "h").sortWithinPartitions("h", "id", "place")
     answers = asked.mapInArrow(_sources, "_bucket int, h long, source long, spot long")
     schema = T.StructType(
