@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from ..shipping import ship
 from ._minhash import BINS, bands, shingle_sets, signatures, sketches
 from ..scratch import cut, drop
+from . import _carry
 from ._words import slices
 from .components import connected_components
 
@@ -240,7 +241,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if BINS % rows:
         raise ValueError(f"rows must divide {BINS}")
     cores = spark.sparkContext.defaultParallelism
-    named = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    named = docs.select(_carry.column(id_col).cast("long").alias("_id"), _carry.column(text_col).alias("_text"))
     shape = "_id long, n long, key binary, bands array<long>, sketch binary"
     seen = cut(named.mapInArrow(_describe(gram, rows), shape), "minhash")
     full = seen.where("_id IS NOT NULL AND n > 0")
@@ -295,10 +296,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` but for all documents of a group after its first; rows with null ids stay."""
+    """The rows of ``docs`` but for all documents of a group after its first; rows with null ids stay.
+
+    Rows that repeat the id of a group's first document all stay. Columns may have any names.
+    """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, gram=gram, percent=percent)
-    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("_id")).distinct()
+    rows = docs.select(_carry.own(docs.columns), _carry.column(id_col).alias("_id"))
+    return _carry.unpacked(rows.join(gone, "_id", "left_anti"), docs.columns, [])
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import cut
 from ..shipping import ship
+from . import _carry
 from ._bpe import load
-from ..scratch import cut
 
 LENGTH = 1024
 
-_TOKENS = T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_local", T.LongType()), T.StructField("_n", T.LongType()), T.StructField("_ids", T.BinaryType())])
+_TOKENS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("local", T.LongType()), T.StructField("n", T.LongType()), T.StructField("tokens", T.BinaryType())])
 _PIECE = T.StructType(
     [T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")] + [T.StructField("ids", T.BinaryType())]
 )
@@ -40,7 +41,7 @@ def pack(docs: DataFrame, tokenizer: str, *, text_col: str = "text", end_id: int
     ``start`` (tokens of the document before the piece), ``length``,
     ``doc_tokens`` (with the end id), ``sequence_id`` and ``offset`` (place in the
     sequence; both without gaps from 0), and ``ids`` (the piece's ids, unsigned
-    32-bit little-endian). A clash with a carried column raises ValueError.
+    32-bit little-endian). A carried column with one of these names raises ValueError; any other name is free.
 
     A null text counts as empty. Each text is followed by ``end_id`` (None for
     none; a text without tokens then has no piece). Repeated rows are packed as often as they
@@ -50,10 +51,8 @@ def pack(docs: DataFrame, tokenizer: str, *, text_col: str = "text", end_id: int
     """
     spark = docs.sparkSession
     ship(spark)
-    carry = [c for c in docs.columns if c != text_col] if carry is None else list(carry)
-    if clash := set(carry) & set(_PIECE.names):
-        raise ValueError(f"columns {sorted(clash)} of the documents clash with results")
-    kept = [docs.schema[c] for c in carry]
+    carry = _carry.chosen(docs, carry, _PIECE.names, (text_col,))
+    kept = [_carry.field(docs, carry)]
     kind = np.uint16 if max(load(tokenizer).size - 1, end_id or 0) < 1 << 16 else np.uint32
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,17 +74,17 @@ def pack(docs: DataFrame, tokenizer: str, *, text_col: str = "text", end_id: int
                 at += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(c).slice(first, len(ids)) for c in carry),
+                        batch.column(_carry.OWN).slice(first, len(ids)),
                         pa.array(np.full(len(ids), part), pa.int32()),
                         pa.array(local, pa.int64()),
                         pa.array(n, pa.int64()),
                         pa.array([x.tobytes() for x in ids], pa.binary()),
                     ],
-                    [*carry, *_TOKENS.names],
+                    [_carry.OWN, *_TOKENS.names],
                 )
 
-    tokens = cut(docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(tokenise, T.StructType([*kept, *_TOKENS.fields])), "pack")
-    totals = {r[0]: int(r[1]) for r in tokens.groupBy("_part").agg(F.sum("_n")).collect()}  # a number for each partition
+    tokens = cut(docs.select(_carry.own(carry), _carry.column(text_col).alias("_text")).mapInArrow(tokenise, T.StructType([*kept, *_TOKENS.fields])), "pack")
+    totals = {r[0]: int(r[1]) for r in tokens.groupBy("part").agg(F.sum("n")).collect()}  # a number for each partition
     offsets = np.zeros(max(totals, default=0) + 1, np.int64)
     for part in totals:
         offsets[part] = totals[part]
@@ -94,9 +93,9 @@ def pack(docs: DataFrame, tokenizer: str, *, text_col: str = "text", end_id: int
     def slice_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = shared.value
         for batch in batches:
-            begin = base[batch.column("_part").to_numpy()] + batch.column("_local").to_numpy()
+            begin = base[batch.column("part").to_numpy()] + batch.column("local").to_numpy()
             row, piece, size = [], [], 0
-            for i, raw in enumerate(batch.column("_ids")):
+            for i, raw in enumerate(batch.column("tokens")):
                 ids = np.frombuffer(raw.as_py(), kind).astype("<u4")
                 g = int(begin[i])
                 edges = [0, *range(length - g % length, len(ids), length), len(ids)]
@@ -112,11 +111,11 @@ def pack(docs: DataFrame, tokenizer: str, *, text_col: str = "text", end_id: int
                 yield out(batch, row, piece)
 
     def out(batch: pa.RecordBatch, row: list[int], piece: list[tuple]) -> pa.RecordBatch:
-        own = batch.select(carry).take(pa.array(row)) if carry else None
+        own = batch.column(_carry.OWN).take(pa.array(row))
         columns = [pa.array(c, pa.int64()) for c in list(zip(*piece))[:5]] + [pa.array([p[5] for p in piece], pa.binary())]
-        return pa.RecordBatch.from_arrays([*(own.columns if carry else ()), *columns], [*carry, *_PIECE.names])
+        return pa.RecordBatch.from_arrays([own, *columns], [_carry.OWN, *_PIECE.names])
 
-    return tokens.mapInArrow(slice_up, T.StructType([*kept, *_PIECE.fields]))
+    return _carry.unpacked(tokens.mapInArrow(slice_up, T.StructType([*kept, *_PIECE.fields])), carry, _PIECE.names)
 
 
 def sequences(pieces: DataFrame, *, length: int = LENGTH, pad_id: int = 0) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
+from . import _carry
 from ._words import SPACED, Words, slices
 
 PASSAGE = 64
@@ -28,7 +29,7 @@ SAMPLE = 4000
 PASSAGES = 256_000
 HIDDEN, GATE, EPOCHS, RATE, DECAY = 24, 16, 60, 0.01, 1e-4
 #: Text scored at once.
-_SLICE = 2 << 20
+_SLICE = 1 << 19
 EXTRA = 6
 FEATURES = 256 + EXTRA
 
@@ -143,13 +144,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     The sample are the labelled ids of the smallest hashes, so a larger table
     brings no more work. In order of the hashes, ids whose passages no longer fit are left out. Rows of ``labels`` with a null id or label are left out;
-    of an id that is labelled twice the smaller label counts. With no or one class of
+    of an id that is labelled twice the smaller label counts. Rows that share an id are bags of their own, and their passages count together. With no or one class of
     labels the model is a constant, the smoothed share of label 1.
     """
     ship(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_y"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    bags = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_text", "_y")
+    bags = docs.select(_carry.column(id_col).alias("_id"), _carry.column(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_text", "_y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,17 +189,16 @@ def score(docs: DataFrame, model: Attention, *, text_col: str = "text", as_col:
     without words, are a bag of one empty passage and get a score too.
     """
     ship(docs.sparkSession)
-    carry = list(docs.columns if carry is None else carry)
-    if as_col in carry:
-        raise ValueError(f"column {as_col} of the documents clashes with the result")
+    carry = _carry.chosen(docs, carry, [as_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in slices(batch.column("_text"), _SLICE):
                 p = model.score(*encode(texts))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(p)) for c in carry), pa.array(p, pa.float64())], [*carry, as_col])
+                yield pa.RecordBatch.from_arrays([batch.column(_carry.OWN).slice(at, len(p)), pa.array(p, pa.float64())], [_carry.OWN, "p"])
 
-    return docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(run, T.StructType([*(docs.schema[c] for c in carry), T.StructField(as_col, T.DoubleType())]))
+    got = docs.select(_carry.own(carry), _carry.column(text_col).alias("_text")).mapInArrow(run, T.StructType([_carry.field(docs, carry), T.StructField("p", T.DoubleType())]))
+    return _carry.unpacked(got, carry, [F.col("p").alias(as_col)])
 
 
 def held_out(id_col: str = "doc_id"):

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
+from . import _carry
 
 #: Distinct merged pre-tokens that a task remembers; beyond it starts afresh.
 MEMORY = 400_000
@@ -72,9 +73,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, text_col: str = "text", as_
     """
     spark = docs.sparkSession
     ship(spark)
-    carry = list(docs.columns if carry is None else carry)
-    if as_col in carry:
-        raise ValueError(f"column {as_col} of the documents clashes with the result")
+    carry = _carry.chosen(docs, carry, [as_col])
     proved = None
     if tokenizer.endswith(".json"):
         from ._bpe import load
@@ -88,10 +87,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, text_col: str = "text", as_
         for batch in batches:
             texts = pc.fill_null(batch.column("_text"), "")
             n = pa.array([count(t.as_py()) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), n], [*carry, as_col])
+            yield pa.RecordBatch.from_arrays([batch.column(_carry.OWN), n], [_carry.OWN, "tokens"])
 
-    schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField(as_col, T.LongType())])
-    return docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    schema = T.StructType([_carry.field(docs, carry), T.StructField("tokens", T.LongType())])
+    got = docs.select(_carry.own(carry), _carry.column(text_col).alias("_text")).mapInArrow(run, schema)
+    return _carry.unpacked(got, carry, [F.col("tokens").alias(as_col)])
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
