@@ -21,6 +21,7 @@ SQL = {
     "op1_minhash_dedup": minhash_dedup.OP1_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op6_chat_rotation": chat.OP6_SQL,
+    "op7_url_graph": url_filter.OP7_SQL,
     "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op9_license_scan": license_scan.OP9_SQL,
 }

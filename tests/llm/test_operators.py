@@ -521,3 +521,77 @@ def test_attention_gradients():
 def test_passages_of_texts():
     x, first = quality.encode(pa.array(["", "a " * 130, None, "\n"], pa.string()).fill_null("").cast(pa.large_string()))
     assert np.diff(first).tolist() == [1, 3, 1, 1] and not x[0, :256].any() and x[1, 257] == 1.0
+
+
+# --- names, ties and long inputs -------------------------------------------------------------
+
+TAKEN = ["_text", "_id", "_own", "_n", "_part", "_ids", "_gone", "_items", "_spans", "_bucket", "_key", "aligned", "checked", "words", "row", "near", "part", "h", "a.b", "tick`"]
+
+
+def test_columns_of_any_name_come_through(spark):
+    rows = [(1, "Released under the MIT License one two three four five"), (2, "a b c d e f g h"), (3, "a b c d e f g h"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.select("*", *(F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in TAKEN))
+    items = spark.createDataFrame([(7, "b c d e f g h a")], "item_id long, text string")
+    model = quality.train(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    made = {
+        "count": token_count.count_tokens(docs, BPE), "pack": pack.pack(docs, BPE), "clean": decontaminate.decontaminate(docs, items), "print": simhash.fingerprint(docs),
+        "cut": substring_dedup.dedup_substrings(docs), "licence": license_scan.scan(docs), "score": quality.score(docs, model), "dedup": minhash_dedup.drop_near_duplicates(docs),
+    }
+    for name, table in made.items():
+        got = table.collect()
+        assert {r["doc_id"] for r in got} == ({1, 2, 4} if name == "dedup" else {1, 2, 3, 4}), name
+        assert all(r[c] == f"{c} {r['doc_id']}" for r in got for c in TAKEN), name
+    for result, call in [("n_tokens", lambda d: token_count.count_tokens(d, BPE)), ("ids", lambda d: pack.pack(d, BPE)), ("hit_spans", lambda d: decontaminate.decontaminate(d, items)), ("FACTORS", substring_dedup.dedup_substrings), ("quotes", license_scan.scan)]:
+        with pytest.raises(ValueError):
+            call(docs.withColumn(result, F.lit(1)))
+
+
+def test_url_sql_walks_links_too(spark, tmp_path):
+    import duckdb
+
+    links = {"c": ["a"], "a": ["bad"], "bad": [], "d": ["c", "good"], "good": ["d"], "e": ["bad", "bad2", "good"], "bad2": ["e"], "f": ["f", "g"]}
+    rows = [(i, f"http://{h}.net/{'es/' if h.startswith('bad') else 'x'}", "".join(f'<a href="https://{x}.net/">y</a>' for x in to)) for i, (h, to) in enumerate(links.items())]
+    rows += [(90, None, None), (91, "no scheme", '<a href="//bad.net">'), (92, "x://good.net/fr", "<a href=//com/>z"), (93, "http://www.Example.com/en/", ""), (93, "http://www.Example.com/en/", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((tuple(r[c] for c in ("page_id", "host", "path", "rule", "verdict")) for r in url_filter.op7(spark, str(tmp_path)).collect()), key=str)
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        want = db.execute(f"SELECT page_id, host, path, rule, verdict FROM ({url_filter.OP7_SQL})").fetchall()
+    assert got == sorted(want, key=str)
+    assert {r[1] for r in got if r[4] == "block" and r[3] is None} == {"a.net", "c.net"}
+
+
+def test_many_rules(spark):
+    rules = [(f"h{i}.org", "/a/", "block") for i in range(5000)] + [("h7.org", "/a/b/", "allow"), ("h8.org", "/a/", "allow")]
+    name, verdict = url_filter.match(F.col("h"), F.col("p"), rules)
+    asked = [("h7.org", "/a/b/c"), ("x.h7.org", "/a/c"), ("h8.org", "/a/"), ("xh9.org", "/a/"), ("", ""), (".h9.org", "/a/"), ("org", "/a/")]
+    got = [tuple(r) for r in spark.createDataFrame(asked, "h string, p string").select(name, verdict).collect()]
+    assert got == [("h7.org/a/b/", "allow"), ("h7.org/a/", "block"), ("h8.org/a/", "block"), (None, None), (None, None), ("h9.org/a/", "block"), (None, None)]
+    with pytest.raises(ValueError):
+        url_filter.match(F.col("h"), F.col("p"), rules * 11)
+
+
+def test_equal_ids_and_hot_keys(spark):
+    same = [(1, "x y z " * 10), (1, "other words entirely"), *[(None, f"null {i} a b c d") for i in range(50)], *[(2, "x y z " * 10)] * 40]
+    docs = spark.createDataFrame(same, "doc_id long, text string")
+    assert substring_dedup.dedup_substrings(docs, window=5).where("n_removed > 0").groupBy("doc_id").count().collect() == [(2, 40)]
+    got = simhash.edit_likeness(docs).collect()
+    assert len(got) == len(same) and sum(r["near_next"] == 1.0 for r in got if r["doc_id"] == 2) >= 39
+    found = minhash_dedup.near_duplicates(docs).collect()
+    assert {r["component_id"] for r in found if r["doc_id"] in (1, 2)} == {1} and sum(r["kept"] for r in found) == 2 + 50
+
+
+def test_counts_query_columns(spark, small):
+    ids = library_ids()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = token_count.op3(spark, small).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got} == {i: (len(t.encode()), len(ids(t)), len(ids(t)) > 1024) for i, t in texts.items()}
+
+
+def test_a_hundred_licences(spark):
+    titled = [(i, f"x {t.upper()} y") for i, (_, t, _) in enumerate(license_scan.LICENCES)]
+    assert len(titled) > 100
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(titled, "doc_id long, text string")).collect()}
+    for i, (label, template, _) in enumerate(license_scan.LICENCES):
+        assert label in {q["label"] for q in got[i]["quotes"]} and got[i]["likeness"] == 1.0, template
