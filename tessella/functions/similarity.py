@@ -15,15 +15,19 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def _common(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
-    if len(a) < len(b):
-        a, b = b, a
-    row = [0] * (len(b) + 1)
-    for x in a:
-        corner = 0
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence.
+
+    The places of ``a`` are bits of one integer, and a character of ``b`` updates all of them at once: a
+    clear bit marks a place where the subsequence grows.
+    """
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    rest = full = (1 << len(a)) - 1
+    for y in b:
+        met = rest & at.get(y, 0)
+        rest = (rest + met | rest - met) & full
+    return len(a) - rest.bit_count()
 
 
 def indel(a: str, b: str) -> float:
@@ -40,11 +44,17 @@ def best_window(a: str, b: str) -> float:
     return max(indel(short, long[max(0, i) : i + n]) for i in range(1 - n, len(long)))
 
 
+def _pairs(measure, a: pd.Series, b: pd.Series) -> pd.Series:
+    """A measure of each pair, taken once for pairs that repeat."""
+    known: dict[tuple[str, str], float] = {}
+    return pd.Series([None if x is None or y is None else known[x, y] if (x, y) in known else known.setdefault((x, y), measure(x, y)) for x, y in zip(a, b)], dtype="float64")
+
+
 @F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel(x, y) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
+    return _pairs(indel, a, b)
 
 
 @F.pandas_udf(T.DoubleType())
 def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([best_window(x, y) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
+    return _pairs(best_window, a, b)

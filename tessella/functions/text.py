@@ -226,3 +226,8 @@ def precision(question: Column, note: Column) -> Column:
 
 def value_missing(c: Column) -> Column:
     return c.isNull() | (strip(c) == "")
+
+
+def json_safe(c: Column) -> Column:
+    """A number as JSON can carry it: null for what is none or infinite."""
+    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)

@@ -94,3 +94,9 @@ def words_row(words: DataFrame, columns: DataFrame, y_lo: float, y_hi: float) ->
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word_id", "text"))), lambda x: x["text"]), " ")
     got = own.groupBy("page_id", "col_no").agg(text.alias("text"))
     return columns.select("page_id", "col_no").join(got, ["page_id", "col_no"], "left").withColumn("text", F.nullif(X.strip(F.col("text")), F.lit("")))
+
+
+def column_bounds(cells: DataFrame) -> DataFrame:
+    """Left and right edges of a table's columns, from its first row: page_id, col_no, x0, x1 of cells(page_id, row_no, col_no, x0, x1)."""
+    first = cells.groupBy("page_id").agg(F.min("row_no").alias("row_no"))
+    return cells.join(first, ["page_id", "row_no"], "left_semi").select("page_id", "col_no", "x0", "x1")

@@ -95,22 +95,33 @@ def parse_range(question: Column, row_spans: bool = True) -> Column:
     before a page. ``row_spans`` also reads 第A行到第B行 as rows A to B (off: only row A, as
     the pattern list alone would have it). ``how`` is regex, or full where nothing matched.
     """
-    q = F.coalesce(question, F.lit(""))
-    find = lambda p, g=1: F.nullif(F.regexp_extract(q, p, g), F.lit(""))
-    pages = r"第\s*(\d+)\s*页\s*(?:到|至|-|—)\s*(\d+)\s*页"
-    page_lo = F.coalesce(find(pages), find(r"第\s*(\d+)\s*页")).cast("int")
-    page_hi = F.coalesce(find(pages, 2), find(r"第\s*(\d+)\s*页")).cast("int")
-    n = lambda p, g=1: chinese_int(find(p, g))
-    first, one = n(rf"前\s*{_CN}\s*行"), n(rf"第\s*{_CN}\s*行")
-    last = n(rf"第\s*{_CN}\s*行\s*(?:到|至|-|—)\s*第?\s*{_CN}\s*行", 2) if row_spans else F.lit(None).cast("int")
-    header = q.rlike("表头")
-    row_lo = F.when(first.isNotNull(), 0).when(one.isNotNull(), one - 1).when(header, 0)
-    row_hi = F.when(first.isNotNull(), first - 1).when(one.isNotNull(), F.coalesce(last, one) - 1).when(header, 1)
-    cols, col = n(rf"前\s*{_CN}\s*列"), n(rf"第\s*{_CN}\s*列")
-    col_lo = F.when(cols.isNotNull(), 0).when(col.isNotNull(), col - 1)
-    col_hi = F.coalesce(cols, col) - 1
-    some = F.coalesce(page_lo, row_lo, col_lo).isNotNull()
-    return F.struct(page_lo.alias("page_lo"), page_hi.alias("page_hi"), row_lo.alias("row_lo"), row_hi.alias("row_hi"), col_lo.alias("col_lo"), col_hi.alias("col_hi"), F.when(some, "regex").otherwise("full").alias("how"))
+    # The patterns of pages, rows and columns.
+    patterns = {
+        "pages": r"第\s*(\d+)\s*页\s*(?:到|至|-|—)\s*(\d+)\s*页", "page": r"第\s*(\d+)\s*页", "rows": rf"前\s*{_CN}\s*行", "row": rf"第\s*{_CN}\s*行",
+        "span": rf"第\s*{_CN}\s*行\s*(?:到|至|-|—)\s*第?\s*{_CN}\s*行", "cols": rf"前\s*{_CN}\s*列", "col": rf"第\s*{_CN}\s*列",
+    }
+    find = lambda q, name, g=1: F.nullif(F.regexp_extract(q, patterns[name], g), F.lit(""))
+
+    # Each text is found once, read once and then named: written out, every bound would repeat all patterns.
+    def read(q: Column) -> Column:
+        numbers = [find(q, "pages"), find(q, "pages", 2), find(q, "page"), find(q, "rows"), find(q, "row"), find(q, "span", 2) if row_spans else F.lit(None).cast("string"), find(q, "cols"), find(q, "col")]
+        return F.struct(F.transform(F.array(*numbers), chinese_int).alias("n"), q.rlike("表头").alias("header"))
+
+    def bounds(x: Column) -> Column:
+        from_page, to_page, page, first, one, last, cols, col = (F.get(x["n"], i) for i in range(8))
+        row_lo = F.when(first.isNotNull(), 0).when(one.isNotNull(), one - 1).when(x["header"], 0)
+        row_hi = F.when(first.isNotNull(), first - 1).when(one.isNotNull(), F.coalesce(last, one) - 1).when(x["header"], 1)
+        col_lo = F.when(cols.isNotNull(), 0).when(col.isNotNull(), col - 1)
+        made = [F.coalesce(from_page, page).alias("page_lo"), F.coalesce(to_page, page).alias("page_hi"), row_lo.alias("row_lo"), row_hi.alias("row_hi"), col_lo.alias("col_lo"), (F.coalesce(cols, col) - 1).alias("col_hi")]
+        return F.struct(*made, F.when(F.coalesce(from_page, page, row_lo, col_lo).isNotNull(), "regex").otherwise("full").alias("how"))
+
+    return X.let(X.let(F.coalesce(question, F.lit("")), read), bounds)
+
+
+def by_file(questions: DataFrame) -> DataFrame:
+    """Questions by file, in order of their rows: file_name, n, question_ids."""
+    listed = F.array_sort(F.collect_list(F.struct("row_no", "question_id")))
+    return questions.groupBy("file_name").agg(F.count("*").alias("n"), F.transform(listed, lambda x: x["question_id"]).alias("question_ids"))
 
 
 def range_from_json(reply: Column) -> Column:

@@ -151,3 +151,25 @@ def question_list(questions: DataFrame, profiles: DataFrame, records: DataFrame,
     if needle:
         rows = rows.where(F.contains(F.lower(F.concat_ws(" ", "question_id", "question", "file_name")), F.lower(F.lit(needle))))
     return rows
+
+
+def route_distribution(pages: DataFrame) -> DataFrame:
+    """Files and pages of pages(file_id, category) by category and route, with the file that has most pages (the first of equals)."""
+    kind = F.coalesce("category", F.lit("?"))
+    by_file = pages.groupBy(kind.alias("category"), "file_id").agg(F.count("*").alias("n"))
+    route = F.when(F.col("category").isin("A", "B"), "text").otherwise("vision").alias("route")
+    return by_file.groupBy("category", route).agg(F.count("*").alias("files"), F.sum("n").alias("pages"), F.min_by("file_id", F.struct((-F.col("n")).alias("n"), F.col("file_id").alias("f"))).alias("busiest"))
+
+
+def drilldown(rows: DataFrame, pattern: str) -> DataFrame:
+    """Answers worth a look: those that are empty or suspect, or whose events match; ``why`` lists the reasons."""
+    kind = validity(F.col("answer"))
+    why = F.array(F.when(kind == "invalid", "empty"), F.when(kind == "suspect", "suspect"), F.when(F.coalesce("events", F.lit("")).rlike(pattern), pattern))
+    return rows.withColumn("why", F.filter(why, lambda w: w.isNotNull())).where(F.size("why") > 0)
+
+
+def joined(questions: DataFrame, submission: DataFrame, debug: DataFrame) -> DataFrame:
+    """Questions with what a submission and a debug sheet hold for their ids (as texts), null where they hold nothing."""
+    keyed = lambda t: t.withColumn("question_id", F.col("id").cast("string")).drop("id")
+    extra = keyed(debug).drop("answer")
+    return questions.withColumn("question_id", F.col("question_id").cast("string")).join(keyed(submission), "question_id", "left").join(extra, "question_id", "left")

@@ -120,11 +120,11 @@ SELECT query_id, chunk_id, rank, round(s, 4) AS similarity FROM r WHERE rank <=
   FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM x)
 SELECT query_id, chunk_id, true AS directed FROM r WHERE rank = 1""",
-    "rerank_overlap": """WITH h AS (SELECT p_brand, list_slice(list_sort(list(DISTINCT p_type)), 1, 3) AS h FROM part GROUP BY 1),
-t AS (SELECT DISTINCT p_type AS q FROM part),
-w AS (SELECT q, list_distinct(CASE WHEN length(q) <= 4 THEN [q] ELSE list_concat([q], list_transform(range(1, length(q)), lambda i: q[i : i + 1]), list_transform(range(1, length(q) - 1), lambda i: q[i : i + 2])) END) AS t FROM t),
-x AS (SELECT q AS query_id, p_brand AS chunk_id, round(CAST(0.05 AS DOUBLE) * len(list_filter(t, lambda a: len(list_filter(h, lambda b: contains(b, a) OR contains(a, b))) > 0)), 4) AS rerank_bonus,
-  length(p_brand) / 100.0 AS s FROM w, h),
+    "rerank_overlap": """WITH h AS (SELECT p_brand, p_brand || '-' || p_size AS chunk_id, p_size / 100.0 AS s, list(DISTINCT p_type) AS h FROM part GROUP BY p_brand, p_size),
+t AS (SELECT DISTINCT p_brand, p_type AS q FROM part),
+w AS (SELECT p_brand, q, list_distinct(CASE WHEN length(q) <= 4 THEN [q] ELSE list_concat([q], list_transform(range(1, length(q)), lambda i: q[i : i + 1]), list_transform(range(1, length(q) - 1), lambda i: q[i : i + 2])) END) AS t FROM t),
+x AS (SELECT p_brand || ' ' || q AS query_id, chunk_id, s, CASE WHEN count(*) OVER (PARTITION BY p_brand, q) = 1 THEN 0 ELSE
+  round(CAST(0.05 AS DOUBLE) * len(list_filter(t, lambda a: len(list_filter(h, lambda b: contains(b, a) OR contains(a, b))) > 0)), 4) END AS rerank_bonus FROM w JOIN h USING (p_brand)),
 r AS (SELECT query_id, chunk_id, rerank_bonus, round(s + rerank_bonus, 4) AS adjusted_score FROM x),
 o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY adjusted_score DESC, chunk_id) AS INTEGER) AS place FROM r)
 SELECT query_id, chunk_id, place, rerank_bonus, adjusted_score FROM o WHERE place <= 3""",
@@ -134,7 +134,7 @@ SELECT doc_id, file_id, CASE WHEN f < doc_id THEN lpad(CAST(f AS VARCHAR), 9, '0
     "garbled_text": """WITH d AS (SELECT doc_id, text, regexp_replace(text, '\\s', '', 'g') AS t FROM documents),
 n AS (SELECT doc_id, length(t) AS n, length(regexp_replace(t, '[\\p{L}\\p{N}]', '', 'g')) AS odd, length(array_to_string(regexp_extract_all(text, '[A-Za-z]{2,}'), '')) AS latin FROM d)
 SELECT doc_id, n >= 4 AND odd > 0.5 * n AS garbled, n >= 100 AND odd > 0.5 * n AND latin < 0.25 * n AS garbled_layer FROM n""",
-    "confidence_scores": """WITH e AS (SELECT user_id, event_id // 500 AS block, CASE event_id % 5 WHEN 0 THEN 40 WHEN 1 THEN 20 ELSE 10 END AS lost FROM events WHERE value > 0),
+    "confidence_scores": """WITH e AS (SELECT user_id, event_id // 500 AS block, CASE event_id % 5 WHEN 0 THEN 40 WHEN 1 THEN 20 ELSE 10 END AS lost FROM events),
 s AS (SELECT user_id, block, greatest(0.2, (100 - sum(lost)) / 100.0) AS score FROM e GROUP BY 1, 2)
 SELECT user_id, block, score, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM s""",
     "validity_class": f"""WITH {_PARTS} SELECT o_orderpriority, count(*) AS n, count(*) FILTER (class = 'valid') AS valid, count(*) FILTER (class = 'suspect') AS suspect,

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,13 +26,24 @@ def retryable(message: str) -> bool:
     return any(x in message.lower() for x in RETRYABLE)
 
 
-def call_model(prompts: DataFrame, chat: Callable[[str], str], *, at_once: int = 8, retries: int = 5, wait: float = 4.0) -> DataFrame:
-    """Replies to prompts(question_id, phase, prompt): question_id, phase, reply, error. A failed call is a row, not an exception."""
+class Reply(NamedTuple):
+    """What a model said and the tokens it counted."""
+
+    text: str
+    input_tokens: int = 0
+    output_tokens: int = 0
+
+
+def call_model(prompts: DataFrame, chat: Callable[[str], str | Reply], *, at_once: int = 8, retries: int = 5, wait: float = 4.0) -> DataFrame:
+    """Replies to prompts(question_id, phase, prompt): question_id, phase, reply, error, input_tokens, output_tokens.
+
+    A failed call is a row, not an exception. Tokens are those of a :class:`Reply`, else null.
+    """
     ship(prompts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            replies, errors = [], []
+            replies, errors, tokens = [], [], []
             for prompt in b.column("prompt").to_pylist():
                 reply = error = None
                 for attempt in range(retries):
@@ -43,11 +55,38 @@ def call_model(prompts: DataFrame, chat: Callable[[str], str], *, at_once: int =
                         if not retryable(error) or attempt + 1 == retries:
                             break
                         time.sleep(min(60.0, wait * 2**attempt))
-                replies.append(reply)
+                counted = isinstance(reply, tuple)
+                replies.append(reply[0] if counted else reply)
+                tokens.append(reply[1:3] if counted else (None, None))
                 errors.append(error)
-            yield pa.RecordBatch.from_arrays([b.column("question_id"), b.column("phase"), pa.array(replies, pa.string()), pa.array(errors, pa.string())], ["question_id", "phase", "reply", "error"])
+            counts = [pa.array([t[i] for t in tokens], pa.int64()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([b.column("question_id"), b.column("phase"), pa.array(replies, pa.string()), pa.array(errors, pa.string()), *counts], ["question_id", "phase", "reply", "error", "input_tokens", "output_tokens"])
+
+    return prompts.repartition(at_once).mapInArrow(run, "question_id string, phase string, reply string, error string, input_tokens long, output_tokens long")
+
 
-    return prompts.repartition(at_once).mapInArrow(run, "question_id string, phase string, reply string, error string")
+def usage(calls: DataFrame) -> DataFrame:
+    """The usage table of model calls: question_id, phase, input_tokens, output_tokens; failed calls count nothing."""
+    return calls.where("reply IS NOT NULL").select("question_id", "phase", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens")))
+
+
+def embed(rows: DataFrame, encode: Callable[[list[str]], list[list[float]]], *, text_col: str = "chunk_text", at_once: int = 4, batch: int = 20) -> DataFrame:
+    """Adds ``vector``: texts go to a model in lists of at most ``batch``; a list that fails gets null vectors."""
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, vectors = b.column(text_col).to_pylist(), []
+            for i in range(0, len(texts), batch):
+                part = texts[i : i + batch]
+                try:
+                    vectors += encode(part)
+                except Exception:  # noqa: BLE001  whatever a client raises
+                    vectors += [None] * len(part)
+            yield b.append_column("vector", pa.array(vectors, pa.list_(pa.float32())))
+
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.repartition(at_once).mapInArrow(run, f"{names}, vector array<float>")
 
 
 def recorded(prompts: DataFrame, replies: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
@@ -245,15 +245,12 @@ def directed_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part brands as chunks whose header lists the types of their parts; queries ask for types."""
+    """A brand's sizes as chunks whose header lists the types of their parts; queries ask for a type of a brand."""
     part = _read(spark, sf_dir, "part")
-    heads = part.groupBy("p_brand").agg(F.array_sort(F.collect_set("p_type")).alias("h"))
-    chunks = heads.select(F.col("p_brand").alias("chunk_id"), F.concat(F.lit("表名: -\n表头: "), F.array_join(F.slice("h", 1, 3), " | ")).alias("chunk_text"), (F.length("p_brand") / 100).alias("similarity"))
-    asked = part.select(F.col("p_type").alias("query_id"), F.col("p_type").alias("question")).distinct()
-    met = asked.crossJoin(F.broadcast(chunks))  # brands by types: 25 by 6 whatever the scale
-    from pyspark.sql import Window
-
-    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id")))
+    heads = part.groupBy("p_brand", "p_size").agg(F.array_sort(F.collect_set("p_type")).alias("h"))
+    chunks = heads.select("p_brand", F.concat_ws("-", "p_brand", F.col("p_size").cast("string")).alias("chunk_id"), F.concat(F.lit("表名: -\n表头: "), F.array_join("h", " | ")).alias("chunk_text"), (F.col("p_size") / 100).alias("similarity"))
+    asked = part.select("p_brand", F.concat_ws(" ", "p_brand", "p_type").alias("query_id"), F.col("p_type").alias("question")).distinct()
+    ranked = asked.join(chunks, "p_brand").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id")))
     return retrieve.rerank(ranked).select("query_id", "chunk_id", "place", "rerank_bonus", "adjusted_score")
 
 
@@ -278,7 +275,7 @@ def garbled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def confidence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _read(spark, sf_dir, "events").where("value > 0").withColumn("event", F.when(F.col("event_id") % 5 == 0, "no_table").when(F.col("event_id") % 5 == 1, "extract_unverified").otherwise(F.col("event_type")))
+    e = _read(spark, sf_dir, "events").withColumn("event", F.when(F.col("event_id") % 5 == 0, "no_table").when(F.col("event_id") % 5 == 1, "extract_unverified").otherwise(F.col("event_type")))
     by = e.groupBy("user_id", F.floor(F.col("event_id") / 500).alias("block")).agg(F.collect_list("event").alias("events"))
     score = A.confidence_score(F.col("events"))
     return by.select("user_id", "block", score.alias("score"), A.confidence(score).alias("confidence"))

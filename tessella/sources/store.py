@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.reports import usage_summary
+from ..scratch import cut
 
 
 def save_tables(tables: DataFrame, path: str, fingerprint: str) -> None:
@@ -37,9 +38,46 @@ def unanswered(questions: DataFrame, answers: DataFrame | None) -> DataFrame:
     return questions if answers is None else questions.join(answers.select("question_id").distinct(), "question_id", "left_anti")
 
 
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
 def upsert(spark: SparkSession, rows: DataFrame, path: str, key: str = "file_id") -> None:
-    """Insert or replace by partition; ids repeated in ``rows`` must be the same chunk."""
-    rows.dropDuplicates(["chunk_id"]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    """Insert chunks, or replace those of the same ``chunk_id`` and ``key``; other chunks of the same partitions stay.
+
+    Only partitions that ``rows`` has chunks for are written. Ids repeated in ``rows`` must be the same chunk.
+    """
+    new = rows.dropDuplicates(["chunk_id"])
+    fs, at = _files(spark, path)
+    if fs.exists(at):
+        held = spark.read.parquet(path).withColumn(key, F.col(key).cast(rows.schema[key].dataType))
+        touched = held.join(new.select(key).distinct(), key, "left_semi").join(new.select(key, "chunk_id"), [key, "chunk_id"], "left_anti")
+        new = cut(new.unionByName(touched, allowMissingColumns=True), "upsert")  # read before its partitions are replaced
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
+def remove_file(spark: SparkSession, path: str, file_id: str, key: str = "file_id") -> int:
+    """Delete a file's partition; the number of chunks that went."""
+    held = spark.read.parquet(path).where(F.col(key).cast("string") == file_id)
+    n = held.count()
+    for (name,) in held.select(F.regexp_extract("_metadata.file_path", "^(.*)/", 1)).distinct().collect():  # one folder
+        folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        _files(spark, path)[0].delete(folder, True)
+    return n
+
+
+def save_answers(answers: DataFrame, path: str) -> None:
+    """Add answer records; of several records of a question the last one written counts."""
+    answers.withColumn("written", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def load_answers(spark: SparkSession, path: str) -> DataFrame:
+    """The last record of each question."""
+    held = spark.read.parquet(path)
+    kept = [c for c in held.columns if c not in ("question_id", "written")]
+    last = held.groupBy("question_id").agg(F.max_by(F.struct(*kept), "written").alias("_r"))
+    return last.select("question_id", "_r.*")
 
 
 def delete_file(chunks: DataFrame, file_id: str) -> DataFrame:
