@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 import compare
 import public_tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tessella.llm import _minhash, chat, components, decontaminate, license_scan, minhash_dedup, pack, quality, queries, simhash, substring_dedup, token_count, url_filter
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -595,3 +597,51 @@ def test_a_hundred_licences(spark):
     got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(titled, "doc_id long, text string")).collect()}
     for i, (label, template, _) in enumerate(license_scan.LICENCES):
         assert label in {q["label"] for q in got[i]["quotes"]} and got[i]["likeness"] == 1.0, template
+
+
+# --- the fast encoder against the file's library; recall on shared boilerplate ---------------
+
+_pieces = st.one_of(
+    st.text(max_size=8),
+    st.text("aeiou xyz'0123456789.,\n\t \u00a0\u2003\u3000\u0085\u200b", max_size=20),
+    st.sampled_from(["'s", "'LL", "<|endoftext|>", "\r\n", "\u2028", "é", "e\u0301", "中文", "🙂👍🏽", "\x00", "\ufeff", "1" * 9, " " * 7, "a" * 40]),
+)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(_pieces, max_size=12).map("".join))
+def test_ids_and_counts_are_the_library_s_on_any_text(text):
+    from tessella.llm._bpe import load
+
+    want = library_ids_of()(text)
+    assert load(BPE).ids(text).tolist() == want and counted()(text) == len(want)
+
+
+def library_ids_of(held=[]):
+    held or held.append(library_ids())
+    return held[0]
+
+
+def counted(held=[]):
+    held or held.append(token_count.counter(BPE))
+    return held[0]
+
+
+def test_near_duplicates_with_shared_boilerplate(spark):
+    """Documents that share a long passage, so most buckets hold unlike ones: every link of the exact join is found."""
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for i in range(400):
+        own = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(20, 60))]
+        if rows and rng.random() < 0.3:
+            base = rng.choice(rows)[1].split()
+            for _ in range(rng.randrange(4)):
+                base[rng.randrange(len(base))] = f"e{rng.randrange(99)}"
+            rows.append((i, " ".join(base)))
+        else:
+            rows.append((i, " ".join(own + common)))
+    rng.shuffle(rows)
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), gram=4).collect()
+    want = linked_groups(sorted(rows), 4, 80)
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) < 370
