@@ -21,6 +21,8 @@ from ..shipping import ship
 CELLS = "table_id string, row int, pos int, col int, text string, rowspan int, colspan int, is_anchor boolean"
 #: Largest spans that HTML allows.
 MOST_ROWS, MOST_COLUMNS = 65534, 1000
+#: Places of one cell; a larger one ends with the rows that the table has.
+MOST_PLACES = 1 << 20
 
 
 class _Reader(HTMLParser):
@@ -96,7 +98,8 @@ def place(html: str | None) -> list[tuple[int, int, int, str, int, int, bool]]:
     """Grid of the first table: (row, pos, col, text, rowspan, colspan, is_anchor) in order.
 
     A cell starts at the first free column of its row and fills its whole span,
-    over whatever stands there. Holes become empty cells of their own; rows
+    over whatever stands there; spans below the last row make rows, but for cells of over
+    MOST_PLACES places, which end there. Holes become empty cells of their own; rows
     without any place are left out of ``pos``; the right edge may be ragged.
     """
     reader = _Reader()
@@ -111,7 +114,8 @@ def place(html: str | None) -> list[tuple[int, int, int, str, int, int, bool]]:
                 c += 1
             me = len(cells)
             cells.append((r, c, _tidy(parts), down, across))
-            taken.update(((r + i, c + j), me) for i in range(down) for j in range(across))
+            reach = down if down * across <= MOST_PLACES else min(down, len(reader.rows) - r)
+            taken.update(((r + i, c + j), me) for i in range(reach) for j in range(across))
             c += across
     width: dict[int, int] = {}
     for r, c in taken:

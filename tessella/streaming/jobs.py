@@ -24,10 +24,16 @@ def sessions(events: DataFrame, *, gap: str = "30 minutes", late: str = "10 minu
 
 
 def ingest_pages(pages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Parse tables of arriving pages(doc_id, raw) and keep their cells by document; a document that comes again is replaced."""
+    """Parse tables of arriving pages(doc_id, raw) and keep their cells by document; a document that comes again is replaced.
+
+    Of several pages of a document in one batch the last by ``ts`` counts; without that column, or at equal times, the
+    largest text, so that a repeated batch gives the same.
+    """
 
     def store(batch: DataFrame, _: int) -> None:
-        found = grid.extract_tables(batch.dropDuplicates(["doc_id"])).withColumn("table_id", F.concat_ws(":", "doc_id", "table_no"))
+        order = F.struct("ts", "raw") if "ts" in batch.columns else F.col("raw")
+        last = batch.groupBy("doc_id").agg(F.max_by("raw", order).alias("raw"))
+        found = grid.extract_tables(last).withColumn("table_id", F.concat_ws(":", "doc_id", "table_no"))
         cells = grid.parse_cells(found).withColumn("doc_id", F.split_part("table_id", F.lit(":"), F.lit(1)))
         cells.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
 

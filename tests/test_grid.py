@@ -66,6 +66,12 @@ def test_odd_markup():
     assert (1, 1) in anchors(hole)
 
 
+def test_vast_cells_end_with_the_table():
+    cells = grid.place('<table><tr><td rowspan="65000" colspan="900">a</td></tr><tr><td>b</td></tr></table>')
+    assert len(cells) == 1801 and cells[-1][:4] == (1, 1, 900, "b") and cells[0][4:6] == (65000, 900)
+    assert len(grid.place('<table><tr><td rowspan="3">a</td></tr></table>')) == 3
+
+
 cell_text = st.text("ab1 ", min_size=1, max_size=3).map(str.strip).filter(bool)
 
 
