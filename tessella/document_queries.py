@@ -617,3 +617,107 @@ def retrieval_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.lit("？").alias("question"), F.col("embedding").alias("vector"), F.col("label").alias("file_id"))
     got = quality.diagnose_retrieval(asked, chunks, "key")
     return got.select("query_id", "chunk_id", "has_keyword", "rank", F.when(F.col("place") <= 3, F.col("place")).alias("place"))
+
+
+# --- files, maintenance and small rules -------------------------------------------------------
+
+
+@query("""SELECT lpad(CAST(r_regionkey AS VARCHAR), 3, '0') || '.' || CASE WHEN r_regionkey % 2 = 0 THEN 'pdf' ELSE 'PNG' END AS file_name, CAST(strlen(r_name) AS BIGINT) AS length, substr(sha1(r_name), 1, 12) AS file_id FROM region""")
+def document_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of documents with their content hashes; files of other kinds are left out."""
+    path = _folder(spark, "documents")
+    fs, _ = store._files(spark, path)
+    for key, name in _read(spark, sf_dir, "region").select("r_regionkey", "r_name").collect():  # five files
+        for suffix in ("pdf" if key % 2 == 0 else "PNG", "txt"):
+            with_name = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{key:03d}.{suffix}")
+            out = fs.create(with_name, True)
+            out.write(bytearray(name.encode()))
+            out.close()
+    return files.scan(spark, path).select("file_name", "length", "file_id")
+
+
+@query("""SELECT o_orderkey AS row_no FROM orders WHERE o_orderkey % 10 < 3 ORDER BY o_orderkey LIMIT 25""")
+def limited_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of listed ids, then the first by row: both limits are the feature."""
+    asked = _read(spark, sf_dir, "orders").where("o_orderkey % 10 < 3").select(F.col("o_orderkey").alias("row_no"), F.col("o_orderkey").cast("string").alias("question_id"))
+    first = [r[0] for r in questions.only(asked, limit=25).select("question_id").collect()]  # the length of the limit
+    return questions.only(asked, ids=first, limit=40).select("row_no")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 4 AS INTEGER) END AS n FROM orders""")
+def counting_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists that answer how many with their length; other lists stay lists."""
+    k = F.col("o_orderkey")
+    item = F.struct(F.lit("text").alias("kind"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("boolean").alias("is_int"), F.lit("x").alias("text")).cast(A.VALUE)
+    items = F.slice(F.array_repeat(item, 4), 1, (k % 4).cast("int"))
+    asked = F.when(k % 3 == 1, "列出所有名称").otherwise("一共有多少个项目")
+    form = F.when(k % 3 == 2, "json_array").otherwise("number")
+    return _read(spark, sf_dir, "orders").select("o_orderkey", A.count_if_counting(items, form, asked).alias("n"))
+
+
+@query(f"""WITH {_RECORDS}, c AS (SELECT *, CASE WHEN k % 7 IN (0, 2) THEN 'invalid' WHEN k % 7 IN (1, 3) THEN 'suspect' ELSE 'valid' END AS class FROM a)
+SELECT count(*) AS n, count(*) FILTER (class = 'valid') AS valid, count(*) FILTER (class = 'suspect') AS suspect, count(*) FILTER (class = 'invalid') AS invalid,
+  round(count(*) FILTER (class = 'valid') / count(*), 4) AS rate, round(CAST(avg(score) FILTER (class = 'valid') AS DOUBLE), 4) AS avg_score, count(DISTINCT file_name) AS files FROM c""")
+def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.summary(_answers(spark, sf_dir).withColumn("class", reports.validity(F.col("answer"))))
+
+
+@query(f"""WITH {_RECORDS}, c AS (SELECT *, CASE WHEN k % 7 IN (0, 2) THEN 'invalid' WHEN k % 7 IN (1, 3) THEN 'suspect' ELSE 'valid' END AS class FROM a)
+SELECT 'file' AS scope, file_name AS name, count(*) AS n FROM c WHERE class = 'invalid' GROUP BY 2
+UNION ALL SELECT 'confidence', CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END, count(*) FROM c GROUP BY 2""")
+def quality_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invalid answers by file, and all answers by confidence."""
+    rows = _answers(spark, sf_dir).withColumn("class", reports.validity(F.col("answer"))).withColumn("confidence", A.confidence(F.col("score")))
+    return reports.distributions(rows)
+
+
+@query("""SELECT CAST(s_nationkey AS VARCHAR) AS file_id, CASE WHEN s_suppkey % 2 = 0 THEN 'new' ELSE 'other' END AS prompt_fp, count(*) AS n FROM supplier GROUP BY 1, 2""")
+def rewritten_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored tables of one set of prompts marked as those of another; the rest stays."""
+    s = _read(spark, sf_dir, "supplier")
+    path = _folder(spark, "fingerprints")
+    made = s.select(F.concat(F.col("s_nationkey").cast("string")).alias("file_id"), F.col("s_suppkey").cast("string").alias("table_id"), F.lit("<table></table>").alias("html"), F.when(F.col("s_suppkey") % 2 == 0, "old").otherwise("other").alias("prompt_fp"))
+    made.write.partitionBy("file_id").parquet(path)
+    store.rewrite_fingerprint(spark, path, "old", "new")
+    return store.load_tables(spark, path).groupBy("file_id", "prompt_fp").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_brand AS file_id, CAST(sum(length(p_name)) AS DOUBLE) AS total, count(*) AS n FROM part GROUP BY 1""")
+def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors from a model that takes twenty texts at once."""
+
+    def encode(texts: list[str]) -> list[list[float]]:
+        if len(texts) > 20:
+            raise ValueError("too many texts")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    rows = _read(spark, sf_dir, "part").select(F.col("p_brand").alias("file_id"), F.col("p_name").alias("chunk_text"))
+    made = seams.embed(rows, encode, at_once=8)
+    return made.groupBy("file_id").agg(F.sum(F.get("vector", F.lit(0)).cast("double")).alias("total"), F.sum(F.get("vector", F.lit(1))).cast("long").alias("n"))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS table_id, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'about ' || p_brand END AS annotation FROM part""")
+def annotated_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line about each table from a model; a call that fails gives an empty line."""
+
+    def chat(prompt: str) -> str:
+        if "refuse" in prompt:
+            raise ValueError("refused")
+        return " about " + prompt.split(":")[1] + "\n"
+
+    tables = _read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("table_id"), F.concat(F.when(F.col("p_partkey") % 3 == 0, "refuse:").otherwise("say:"), F.col("p_brand")).alias("html"))
+    return ingest.annotate(tables, "{{ html }}", chat)
+
+
+@query("""SELECT 'op' AS phase, CAST(sum(length(p_name)) FILTER (p_partkey % 5 <> 4) AS BIGINT) AS input_tokens, count(*) FILTER (p_partkey % 5 <> 4) AS output_tokens FROM part""")
+def recorded_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usage of calls as the cost report reads it; refused calls count nothing."""
+
+    def chat(prompt: str):
+        if prompt.startswith("no "):
+            raise ValueError("refused")
+        return seams.Reply("ok", len(prompt), 1)
+
+    k = F.col("p_partkey")
+    asked = _read(spark, sf_dir, "part").select(k.cast("string").alias("question_id"), F.lit("op").alias("phase"), F.when(k % 5 == 4, F.concat(F.lit("no "), F.col("p_name"))).otherwise(F.col("p_name")).alias("prompt"))
+    return seams.usage(seams.call_model(asked, chat)).groupBy("phase").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))

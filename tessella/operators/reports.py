@@ -173,3 +173,16 @@ def joined(questions: DataFrame, submission: DataFrame, debug: DataFrame) -> Dat
     keyed = lambda t: t.withColumn("question_id", F.col("id").cast("string")).drop("id")
     extra = keyed(debug).drop("answer")
     return questions.withColumn("question_id", F.col("question_id").cast("string")).join(keyed(submission), "question_id", "left").join(extra, "question_id", "left")
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """One row over all answers: n, valid, suspect, invalid, rate, mean score of the valid, and files."""
+    kind = F.col("class")
+    counts = [F.count_if(kind == c).alias(c) for c in ("valid", "suspect", "invalid")]
+    return rows.agg(F.count("*").alias("n"), *counts, F.round(F.count_if(kind == "valid") / F.count("*"), 4).alias("rate"), F.round(F.avg(F.when(kind == "valid", F.col("score"))), 4).alias("avg_score"), F.count_distinct("file_name").alias("files"))
+
+
+def distributions(rows: DataFrame) -> DataFrame:
+    """Invalid answers by file and all answers by confidence: scope, name, n."""
+    counted = lambda t, scope, c: t.groupBy(F.col(c).alias("name")).agg(F.count("*").alias("n")).select(F.lit(scope).alias("scope"), "name", "n")
+    return counted(rows.where("class = 'invalid'"), "file", "file_name").union(counted(rows, "confidence", "confidence"))

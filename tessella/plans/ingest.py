@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import prompts
 from ..operators import grid, retrieve
 from ..scratch import cut
 from ..sources import store
@@ -57,3 +58,11 @@ def reindex(tables: DataFrame, files: DataFrame, held: DataFrame, path: str) ->
     state = want.join(retrieve.fresh_template(held), "file_id", "left")
     stale = state.where(~F.coalesce(F.col("fresh") & (F.col("want") == F.col("chunks")), F.lit(False))).select("file_id")
     store.upsert(tables.sparkSession, chunks(tables.join(stale, "file_id", "left_semi"), files), path)
+
+
+def annotate(tables: DataFrame, template: str, chat: Callable[[str], str], **call) -> DataFrame:
+    """One line about each table from a model: table_id, annotation. ``template`` may name the table's columns; a failed call gives an empty line."""
+    asked = tables.select(F.col("table_id").alias("question_id"), F.lit("annotate").alias("phase"), prompts.rendered(template, {c: F.col(c) for c in tables.columns}).alias("prompt"))
+    said = seams.call_model(asked, chat, **call)
+    line = F.trim(F.regexp_replace(F.coalesce("reply", F.lit("")), r"\s+", " "))
+    return said.select(F.col("question_id").alias("table_id"), line.alias("annotation"))

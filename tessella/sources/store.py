@@ -111,3 +111,11 @@ def cost_report(usage: DataFrame) -> bytes:
     rows = sorted(usage_summary(usage).collect(), key=lambda r: (r["phase"] == "TOTAL", r["phase"] or ""))
     lines = ["phase,input_tokens,output_tokens,total_tokens,calls", *(",".join(map(str, r)) for r in rows)]
     return b"\xef\xbb\xbf" + ("\n".join(lines) + "\n").encode()
+
+
+def rewrite_fingerprint(spark: SparkSession, path: str, old: str, new: str) -> None:
+    """Mark the stored tables of one fingerprint as those of another; files without such tables are not written."""
+    held = load_tables(spark, path)
+    hit = held.where(F.col("prompt_fp") == old).select("file_id").distinct()
+    rows = cut(held.join(hit, "file_id", "left_semi").withColumn("prompt_fp", F.when(F.col("prompt_fp") == old, new).otherwise(F.col("prompt_fp"))), "fingerprint")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_id").parquet(path)
