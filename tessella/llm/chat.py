@@ -47,10 +47,14 @@ def rotate(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn
     seen = seen.withColumn("role", role).withColumn("name", F.when(F.col("role") == "user", F.coalesce("speaker", F.lit(""))))
     head = F.concat(F.lit("<|"), F.col("role"), F.when(F.col("name").isNull(), F.lit("")).otherwise(F.concat(F.lit(":"), F.col("name"))), F.lit("|>\n"))
     seen = seen.withColumn("head", F.length(head)).withColumn("segment", F.concat(head, F.col("text"), F.lit(END))).withColumn("size", F.length("segment").cast("long"))
+    # Turns without a number come last, in order of role and text; their ranges are those of a role and the text's first characters.
     seen = seen.withColumn("_range", F.coalesce(F.floor(F.col("turn") / turn_range), F.lit((1 << 62))))
-    group = ["_key", "perspective", "_range"]
+    part = F.struct(F.col("speaker").isNull().alias("none"), F.coalesce("speaker", F.lit("")).alias("role"), F.substring("text", 1, 3).alias("head"))
+    whole = F.struct(F.lit(False).alias("none"), F.lit("").alias("role"), F.lit("").alias("head"))
+    seen = seen.withColumn("_part", F.when(F.col("turn").isNull(), part).otherwise(whole))
+    group = ["_key", "perspective", "_range", "_part"]
     totals = seen.groupBy(group).agg(F.sum("size").alias("_size"), F.count("*").alias("_count"))
-    before = Window.partitionBy("_key", "perspective").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_key", "perspective").orderBy("_range", "_part").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(*group, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_from"), F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_place"))
     order = Window.partitionBy(group).orderBy(F.col("turn").asc_nulls_last(), F.col("speaker").asc_nulls_last(), "text")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)

@@ -355,6 +355,17 @@ def test_chat_perspectives(spark):
     assert chat.rotate(frame.limit(0)).count() == 0
 
 
+def test_turns_without_numbers(spark):
+    rng = random.Random(2)
+    rows = [(1, rng.choice([None, None, 7, 900]), rng.choice([None, "ann", "bob"]), rng.choice(["", "aaa", "aaab", "é", "中文"]) + rng.choice(["", "x", "y"])) for _ in range(120)]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    want = sorted(rows, key=lambda r: ((r[1] is None, r[1] or 0), (r[2] is None, r[2] or ""), r[3].encode()))
+    for who in ("ann", "bob"):
+        mine = sorted((r for r in got if r["perspective"] == who), key=lambda r: r["position"])
+        assert [r["position"] for r in mine] == list(range(120)) and all(a["stop"] == b["start"] for a, b in zip(mine, mine[1:]))
+        assert [(r["turn"], r["segment"].split("|>\n", 1)[1]) for r in mine] == [(t, x + "<|end|>\n") for _, t, _, x in want]
+
+
 # --- urls ------------------------------------------------------------------------------------
 
 
