@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, minhash_dedup, pack, quality, substring_dedup
-from tessella.scratch import cut
+from tessella.scratch import cut, drop
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Words of a passage that counts as repeated, and of one that counts as leaked. Passages of over 50 words are
@@ -68,7 +68,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        after = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = cut(docs, f"stage-{i}")
+            after = cut(after, f"stage-{i}")
+            drop(docs)  # a stage's table is not read once the next one's is written
+        docs = after
     return docs
