@@ -16,7 +16,7 @@ from tessella.sources import store
 from test_grid import html
 
 
-@pytest.mark.parametrize("name", ["question_notes", "range_numerals", "text_rules", "direct_replies", "verb_programs", "op_subitems_zones", "recognised_pages", "tables_at_rest", "vectors_at_rest", "answers_at_rest", "table_select", "answer_fallbacks", "ingested_chunks"])
+@pytest.mark.parametrize("name", ["question_notes", "range_numerals", "text_rules", "verb_programs", "recognised_pages", "vectors_at_rest", "table_select", "answer_fallbacks"])
 def test_query_agrees_with_sql(spark, small, name):
     compare.agree(spark, document_queries.QUERIES[name], document_queries.SQL[name], small)
 
