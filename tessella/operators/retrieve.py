@@ -50,7 +50,8 @@ def search(queries: DataFrame, chunks: DataFrame, *, by: str | None = "file_id",
     (``directed``). Ties are broken by chunk_id. Vectors of no length match nothing.
     """
     q = queries.select("query_id", F.col("vector").alias("_q"), *([by] if by else []))
-    met = q.join(chunks, by) if by else q.crossJoin(F.broadcast(chunks)) if _small(chunks) else q.join(chunks, F.lit(True))
+    # Without a file, queries are a stated set: they, or the chunks, are broadcast where they are few, else both are met in blocks.
+    met = q.join(chunks, by) if by else chunks.crossJoin(F.broadcast(q)) if _small(q) else q.crossJoin(F.broadcast(chunks)) if _small(chunks) else q.join(chunks, F.lit(True))
     scored = met.withColumn("similarity", S.cosine("_q", "vector")).drop("_q", "vector").where("similarity IS NOT NULL")
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "chunk_id")
     near = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2 * top_k)

@@ -94,10 +94,13 @@ def op_subitems(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op_colcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which part type a brand is marked for most often, over size rows."""
     part = _read(spark, sf_dir, "part")
-    kinds = [r[0] for r in part.select("p_type").distinct().orderBy("p_type").collect()]  # the columns of the table
-    counts = part.groupBy(F.col("p_brand").alias("table_id"), F.col("p_size").alias("ord")).pivot("p_type", kinds).count()
-    cells = F.array(F.concat(F.lit("size "), F.col("ord").cast("string")), *(F.when(F.col(f"`{k}`") > 0, "✅").otherwise("") for k in kinds))
-    tables = _html(counts.select("table_id", "ord", cells.alias("cells")), ["尺寸", *kinds])
+    kinds = part.agg(F.array_sort(F.collect_set("p_type")).alias("kinds"))  # one row: the columns of each table
+    held = part.groupBy(F.col("p_brand").alias("table_id"), F.col("p_size").alias("ord")).agg(F.collect_set("p_type").alias("held"))
+    marks = F.transform("kinds", lambda k: F.when(F.array_contains("held", k), "✅").otherwise(""))
+    rows = held.crossJoin(F.broadcast(kinds)).withColumn("cells", F.concat(F.array(F.concat(F.lit("size "), F.col("ord").cast("string"))), marks))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", "cells"))), lambda x: x["cells"])
+    whole = F.concat(F.array(F.concat(F.array(F.lit("尺寸")), F.first("kinds"))), lines)
+    tables = rows.groupBy("table_id").agg(grid.text_html(whole).alias("html"))
     tcols, tcells = _typed(tables)
     asked = tables.select(F.col("table_id").alias("question_id"), "table_id", F.lit('{"op": "colcount", "match": "✅"}').alias("op_json"))
     return table_ops.execute(asked, tcols, tcells).select("question_id", F.col("value.text").alias("text"), "error")
