@@ -118,7 +118,7 @@ def execute(queries: DataFrame, tcols: DataFrame, tcells: DataFrame) -> DataFram
     for uses, plan in families:
         if uses & kinds:
             flat = flat.union(plan())
-    return _compose(n, flat)
+    return _compose(n, cut(flat, "results"))
 
 
 def _compose(n: DataFrame, flat: DataFrame) -> DataFrame:
