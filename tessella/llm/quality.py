@@ -43,11 +43,14 @@ def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     of_word = first[words.doc] + (np.arange(len(words)) - words.first[words.doc]) // PASSAGE
     total = int(first[-1])
     x = np.zeros((total, FEATURES), np.float32)
+    x[:, 261] = 1 / PASSAGE  # a passage without words, in whatever company
     if len(words):
-        # Bytes from a passage's first word to the next passage's belong to it.
+        # Bytes from a passage's first word to the next passage's, or to the text's end, belong to it.
         lead = np.flatnonzero(np.append(True, of_word[1:] != of_word[:-1]))
-        of_byte = np.repeat(of_word[lead], np.diff(np.append(words.start[lead], len(words.data))))
-        held = words.data[words.start[lead[0]] :]
+        begin = words.start[lead]
+        many_bytes = np.minimum(np.append(begin[1:], len(words.data)), words.at[1:][words.doc[lead]]) - begin
+        of_byte = np.repeat(of_word[lead], many_bytes)
+        held = words.data[np.repeat(begin - (np.cumsum(many_bytes) - many_bytes), many_bytes) + np.arange(many_bytes.sum())]
         bytes_ = np.bincount(of_byte * 256 + held, minlength=total * 256).reshape(total, 256).astype(np.float32)
         size = np.maximum(1, bytes_.sum(1))
         x[:, :256] = np.sqrt(bytes_ / size[:, None])

@@ -656,3 +656,41 @@ def test_near_duplicates_with_shared_boilerplate(spark):
     got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), gram=4).collect()
     want = linked_groups(sorted(rows), 4, 80)
     assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) < 370
+
+
+def brute_passages(text):
+    """Features of a text's passages, word by word."""
+    from collections import Counter
+
+    raw = (text or "").encode()
+    at = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    if not at:
+        return [[0.0] * (quality.FEATURES - 1) + [1 / quality.PASSAGE]]
+    words = [raw[a:b] for a, b in at]
+    whole = [len(set(words)) / len(words), max(Counter(words).values()) / len(words)]
+    out = []
+    for i in range(0, len(words), quality.PASSAGE):
+        part = words[i : i + quality.PASSAGE]
+        stop = at[i + quality.PASSAGE][0] if i + quality.PASSAGE < len(words) else len(raw)
+        held = Counter(raw[at[i][0] : stop])
+        size = sum(held.values())
+        own = [len(set(part)) / len(part), max(Counter(part).values()) / len(part), sum(map(len, part)) / len(part) / 10]
+        out.append([*((held[b] / size) ** 0.5 for b in range(256)), *own, *whole, len(part) / quality.PASSAGE])
+    return out
+
+
+def test_quality_scores_follow_the_formula(spark):
+    texts = ["one two two " * 50, " \n  é中文 A,b;" * 9, None, "", " \n", "x", "Good text. " * 40 + "bad " * 90, "1 2 3 4 5"]
+    x, first = quality.encode(pa.array([t or "" for t in texts], pa.large_string()))
+    brute = [brute_passages(t) for t in texts]
+    assert np.diff(first).tolist() == [len(b) for b in brute] and np.allclose(x, np.array([p for b in brute for p in b]), atol=1e-6)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.train(docs, spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int"))
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    w, b, gate_v, gate_u, att, out, bias = (np.asarray(p, np.float64) for p in model.w)
+    for i, bag in enumerate(brute):
+        h = [np.tanh(((np.array(p) - model.mean) * model.scale) @ w + b) for p in bag]
+        e = [np.exp((np.tanh(v @ gate_v) / (1 + np.exp(-(v @ gate_u)))) @ att) for v in h]
+        z = sum(k * v for k, v in zip(e, h)) / sum(e)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(z @ out + bias))), abs=1e-4)
