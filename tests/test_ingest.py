@@ -32,7 +32,7 @@ def test_ingest_routes_and_falls_back(ingested):
     assert n == 3
     assert {(r["file_id"], r["table_name"], r["source_engine"]) for r in tables.collect()} == {("f1", "read /a", "text"), ("f2", "seen /b", "vision"), ("f3", "seen /d", "vision")}
     text = chunks.where("file_id = 'f1'").first()["chunk_text"]
-    assert text.startswith("文件: a.pdf\n表名: read /a\n页码: 1\n行列: 2x3\n单位: -\n业务: 含列: 项目 / 2025 / 2026\n表头: 项目 | 2025 | 2026\n表头: ")
+    assert text.startswith("文件: a.pdf\n表名: read /a\n页码: 1\n行列: 3x2\n单位: -\n业务: 含列: 城市 / 人口\n表头: 城市 | 人口\n表头: ")
     assert {r["fresh"] for r in retrieve.fresh_template(chunks).collect()} == {True}
     assert store.missing(files.where("dedup_of IS NULL"), tables, "fp").count() == 0
 
@@ -46,8 +46,8 @@ def test_reindex_only_what_is_old(spark, ingested):
 
 
 def test_retrieval_diagnosis(spark, ingested):
-    query = spark.createDataFrame([("q", "2025 收入", "f1")], "query_id string, question string, file_id string").withColumn("vector", ingest.seams.hashed_vector(F.col("question")))
-    rows = report.diagnose_retrieval(query, ingested[3], "收入").collect()
+    query = spark.createDataFrame([("q", "甲 人口", "f1")], "query_id string, question string, file_id string").withColumn("vector", ingest.seams.hashed_vector(F.col("question")))
+    rows = report.diagnose_retrieval(query, ingested[3], "人口").collect()
     assert len(rows) == 1 and rows[0]["has_keyword"] and rows[0]["rank"] == 1
 
 
