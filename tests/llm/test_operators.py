@@ -472,6 +472,34 @@ def test_licences_whose_key_phrase_comes_first(spark):
     assert [r["likeness"] for r in got[:5]] == [r["likeness"] for r in got[5:10]]
 
 
+def test_licences_named_by_their_key_phrase_alone(spark, tmp_path):
+    """Whatever is rare in the corpus, each template is quoted just where its key phrase stands."""
+    known, rng = license_scan.LICENCES, random.Random(9)
+    texts = ["", *(f"one two {key} three" for _, _, key in known), *(key for _, _, key in known)]
+    for _, template, _ in known:  # passages with the ends, or words between, missing or changed
+        w = template.split()
+        texts += [" ".join(["x"] * rng.randrange(4) + w[rng.randrange(len(w)) :]), " ".join(w[: rng.randrange(len(w)) + 1]), " ".join(v if rng.random() < 0.8 else "x" for v in w)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def places(text):
+        w = text.split()
+        for t, (label, template, key) in enumerate(known):
+            k, v = key.split(), template.split()
+            at = next(i for i in range(len(v)) if v[i : i + len(k)] == k)
+            yield from ((label, t, i - at) for i in range(len(w) - len(k) + 1) if w[i : i + len(k)] == k)
+
+    got = {r["doc_id"]: r for r in license_scan.scan(docs).collect()}
+    for i, text in enumerate(texts):
+        assert sorted((q["label"], q["template"], q["start"]) for q in got[i]["quotes"]) == sorted(places(text)), text
+        assert got[i]["likeness"] >= max((q["share"] for q in got[i]["quotes"]), default=0)
+
+    titles = {1: ("Mozilla Public License Version 2.0", "mpl"), 2: ("as in the GNU Lesser General Public License", "lgpl"), 3: ("GNU General Public License", "gpl"), 4: ("the public license of mozilla", "")}
+    rows = [(i, text) for i, (text, _) in titles.items()] + [(i, "public license gnu general the work") for i in range(5, 30)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = {r["doc_id"]: r["labels"] for r in license_scan.op9(spark, str(tmp_path)).collect()}
+    assert {i: labels[i] for i in titles} == {1: "mpl", 2: "gpl,lgpl", 3: "gpl", 4: ""}
+
+
 # --- quality ---------------------------------------------------------------------------------
 
 
