@@ -54,6 +54,13 @@ def test_answers(spark):
     assert got["6"]["answer"] == "9" and got["7"]["answer"] == "1234" and "sandbox_fail_direct" in got["7"]["events"]
 
 
+def test_answers_keep_the_cents_of_large_sums(spark):
+    tables = spark.createDataFrame([("t", "a.pdf", "表", 1, html("项|1997\n甲|9,876,543,210.12\n乙|2,345,678,901.35"))], "table_id string, file_name string, table_name string, page int, html string")
+    asked = spark.createDataFrame([("1", "a.pdf", "thinking", "计算1997年之和，保留2位小数", "", "number", None)], "question_id string, file_name string, question_type string, question string, table_hint string, answer_format string, format_note string")
+    replies = spark.createDataFrame([("1", "op", '{"op": "sum", "col": "1997"}')], "question_id string, phase string, reply string")
+    assert [r["answer"] for r in answer(asked, tables, replies).collect()] == ["12222222111.47"]
+
+
 def test_sheet_and_files(spark, tmp_path):
     rows = [["id", "file_name", "question"], ["1", "058.pdf", "a & <b>"], ["2", "", "中"]]
     assert sheets.parse_xlsx(sheets.xlsx_bytes(rows)) == rows
