@@ -93,3 +93,11 @@ def test_operator(results, i):
 
 def test_what_is_no_json_is_an_error(results):
     assert results["bad"]["error"]
+
+
+def test_large_sums_and_cells_keep_their_cents(spark):
+    table = html("项|1995|1996\n甲|9,876,543,210.12|12,345,678,901.23\n乙|2,345,678,901.35|0.1")
+    tcols, tcells = grid.typed(cut(grid.parse_cells(spark.createDataFrame([("t", table)], "table_id string, html string")), "cells"))
+    op = {"op": "seq", "ops": [{"op": "sum", "col": "1995"}, {"op": "cell", **ref("甲", "1996")}, {"op": "diff", "a": ref("甲", "1996"), "b": ref("乙", "1996")}]}
+    asked = spark.createDataFrame([("q", "t", json.dumps(op, ensure_ascii=False))], "question_id string, table_id string, op_json string")
+    assert [v["num"] for v in table_ops.execute(asked, tcols, tcells).first()["items"]] == [12222222111.47, 12345678901.23, 12345678901.13]
