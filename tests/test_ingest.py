@@ -51,6 +51,31 @@ def test_retrieval_diagnosis(spark, ingested):
     assert len(rows) == 1 and rows[0]["has_keyword"] and rows[0]["rank"] == 1
 
 
+def test_search_scores_few_of_all_pairs(spark, monkeypatch):
+    import math
+
+    vectors = {f"c{i:03d}": [float((i * k) % 5 - 2) for k in (1, 3, 7)] + [float(i % 2)] for i in range(400)}  # many are alike, some have no length
+    asked = {f"q{i}": [float(i % 3), float(i % 4 - 1), 1.0, float(i % 2)] for i in range(20)}
+    scored = spark.sparkContext.accumulator(0)
+    dot = lambda a, b: sum((x * y for x, y in zip(a, b)), 0.0)
+
+    @F.udf("double")
+    def counted(a, b):
+        scored.add(1)
+        norm = math.sqrt(sum((x * x for x in a), 0.0)) * math.sqrt(sum((x * x for x in b), 0.0))
+        return sum((x * y for x, y in zip(a, b)), 0.0) / norm if norm else None
+
+    monkeypatch.setattr(retrieve.S, "cosine", counted)
+    monkeypatch.setattr(retrieve, "BLOCK", 512, raising=False)
+    q = spark.createDataFrame([(k, v, "f") for k, v in asked.items()], "query_id string, vector array<double>, file_id string")
+    chunks = spark.createDataFrame([(k, v, "f") for k, v in vectors.items()], "chunk_id string, vector array<float>, file_id string")
+    got = retrieve.search(q, chunks, least=-1.0).collect()
+    cosine = lambda a, b: dot(a, b) / (math.sqrt(dot(a, a)) * math.sqrt(dot(b, b)))
+    want = {k: sorted((-cosine(a, b), c) for c, b in vectors.items() if any(b))[:6] for k, a in asked.items()}
+    assert {(r["query_id"], r["rank"]): (-r["similarity"], r["chunk_id"]) for r in got} == {(k, i + 1): x for k, v in want.items() for i, x in enumerate(v)}
+    assert 0 < scored.value <= 2 * 20 * 6 * 4  # of 8,000 pairs; a filter and a column each score six of each of four blocks
+
+
 def test_quality_page(spark):
     rows = [("1", "a.pdf", "extract", "x", 0.9, "high", ""), ("2", "a.pdf", "extract", "", 0.2, "low", "no_table;rag_miss"), ("3", "<b>", "thinking", "数据未提供", 0.5, "medium", "rag_miss")]
     page = report.quality_page(spark.createDataFrame(rows, "question_id string, file_name string, question_type string, answer string, score double, confidence string, events string"))
